@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.functions.times import as_utc
@@ -46,15 +46,15 @@ def in_range(
     return events
 
 
-def _per_window(events: DataFrame) -> DataFrame:
-    """Counts per window: all that the summary needs from the log, in one pass."""
+def kind_counts() -> list[Column]:
+    """All events, and those of each group of kinds."""
     kind = F.col("event_kind")
-    return events.groupBy("window_id").agg(
+    return [
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(kind.isin(*KEY_KINDS)).alias("key_events"),
         F.count_if(kind.isin(*BUTTON_KINDS)).alias("button_events"),
         F.count_if(kind == WHEEL_KIND).alias("wheel_events"),
-    )
+    ]
 
 
 def activity_summary(
@@ -63,23 +63,29 @@ def activity_summary(
     """One row: totals, exact number of active windows, top applications with share.
 
     The log is reduced to one row per window before it meets the dimension, so the
-    join and all that follows work on dimension-sized data. A rollup by application
-    gives the grand total and the per-application counts from the same pass, and only
-    the grand total and the top rows reach the last step.
+    join and all that follows work on dimension-sized data.
     """
-    named = (
-        _per_window(in_range(events, query.start_at, query.end_at))
-        .join(windows.select("window_id", "app_name"), "window_id", "left")
-        .select(
-            F.coalesce("app_name", F.lit(UNKNOWN_APP)).alias("app_name"),
-            "total_events",
-            "key_events",
-            "button_events",
-            "wheel_events",
-            F.col("window_id").isNotNull().cast("bigint").alias("active_windows"),
+    per_window = (
+        in_range(events, query.start_at, query.end_at).groupBy("window_id").agg(*kind_counts())
+    )
+    named = per_window.join(windows.select("window_id", "app_name"), "window_id", "left")
+    return summarise(
+        named.withColumns(
+            {
+                "app_name": F.coalesce("app_name", F.lit(UNKNOWN_APP)),
+                "active_windows": F.col("window_id").isNotNull().cast("bigint"),
+            }
         )
     )
-    grouped = named.rollup("app_name").agg(
+
+
+def summarise(per_window: DataFrame) -> DataFrame:
+    """The summary from counts per window with `app_name` and `active_windows` 0 or 1.
+
+    A rollup by application gives the grand total and the counts per application from
+    the same pass, and only the grand total and the top rows reach the last step.
+    """
+    grouped = per_window.rollup("app_name").agg(
         F.grouping("app_name").alias("is_total"),
         *[F.sum(name).alias(name) for name in TOTALS],
     )
@@ -101,21 +107,16 @@ def activity_summary(
         F.sort_array(F.collect_list(F.when(~is_total, ranked))).alias("ranked"),
     )
     total = F.col("total_events")
-    # Ten rows at most; share is of all events in range, not of the ten.
-    share = lambda n: F.when(total == 0, F.lit(0.0)).otherwise(
-        n.cast("double") / total.cast("double") * F.lit(100.0)
-    )
-    return one.withColumn(
-        "top_apps",
-        F.transform(
-            "ranked",
-            lambda app: F.struct(
-                app["app_name"].alias("app_name"),
-                app["event_count"].alias("event_count"),
-                share(app["event_count"]).alias("share"),
-            ),
-        ),
-    ).drop("ranked")
+
+    def entry(app: Column) -> Column:
+        # The share is of all events in range, not of the listed ones.
+        count = app["event_count"]
+        share = F.when(total == 0, F.lit(0.0)).otherwise(
+            count.cast("double") / total.cast("double") * F.lit(100.0)
+        )
+        return F.struct(app["app_name"].alias("app_name"), count.alias("event_count"), share.alias("share"))
+
+    return one.withColumn("top_apps", F.transform("ranked", entry)).drop("ranked")
 
 
 def with_pointer_events(summary: DataFrame) -> DataFrame:

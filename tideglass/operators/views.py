@@ -56,10 +56,14 @@ def _value_of(row: str = "") -> Column:
     return shown_value(*[F.col(row + name) for name in names])
 
 
+def _pos_of(records: DataFrame) -> list[str]:
+    return [name for name in records.columns if name == "pos"]
+
+
 def list_items(records: DataFrame) -> DataFrame:
-    """List rows from joined records (`pos`, `event`, `window`)."""
+    """List rows from joined records (`event`, `window`, and `pos` if they are a page)."""
     return records.select(
-        "pos",
+        *_pos_of(records),
         F.col("event.event_id").alias("id"),
         F.col("event.occurred_at").alias("occurred_at"),
         F.col("event.event_kind").alias("kind"),
@@ -134,7 +138,7 @@ def _pair_text(first: Column, second: Column, between: str) -> Column:
 def event_display(records: DataFrame, zone: str = "UTC", language: str = "en-US") -> DataFrame:
     """Display texts of joined records."""
     return records.select(
-        "pos",
+        *_pos_of(records),
         F.col("event.event_id").alias("id"),
         compact_text(F.col("event.occurred_at"), zone).alias("occurred_text"),
         kind_label(F.col("event.event_kind"), language).alias("kind_label"),

@@ -109,14 +109,17 @@ def captures(events: DataFrame) -> DataFrame:
     )
 
 
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple[str, str], Snapshot] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Snapshot:
     """The given events as a stored timeline, built once per application and folder."""
     key = (prepare(spark).sparkContext.applicationId, sf_dir)
     if key not in _built:
-        root = f"{scratch_folder(spark)}/stores/{uuid.uuid4().hex}"
-        TimelineStore(spark, root).ingest(arrivals(given_events(spark, sf_dir)))
-        _built[key] = root
-    return TimelineStore(spark, _built[key]).snapshot()
+        _built[key] = build_store(spark, sf_dir)
+    return _built[key]
+
+
+def build_store(spark: SparkSession, sf_dir: str) -> Snapshot:
+    root = f"{scratch_folder(spark)}/stores/{uuid.uuid4().hex}"
+    return TimelineStore(spark, root).ingest(arrivals(given_events(spark, sf_dir)))

@@ -148,13 +148,14 @@ def decode_events(lines: DataFrame) -> DataFrame:
         *[(has_window & broken, name) for broken, name in inner.rules],
     ]
     reason = F.coalesce(*[F.when(broken, F.lit(name)) for broken, name in failures])
-    return parsed.withColumns(
-        {
-            **values,
-            "window": F.when(has_window, snapshot),
-            "reason": reason,
-        }
-    ).drop("_json", "_window")
+    record = F.struct(
+        *[value.alias(name) for name, value in values.items()],
+        F.when(has_window, snapshot).alias("window"),
+        reason.alias("reason"),
+    )
+    # Spreading a one-element array keeps filters on `reason` above the decoding; pushed
+    # below it, they would repeat the parsing once per rule.
+    return parsed.select(*lines.columns, F.inline(F.array(record)))
 
 
 def valid_events(decoded: DataFrame) -> DataFrame:
