@@ -56,19 +56,26 @@ def raw_window_json(window: Column) -> Column:
     return F.when(window.isNull(), F.lit("{}")).otherwise(body)
 
 
-def whole_json(text: Column) -> Column:
-    """The variant of a text that is exactly one JSON value, else NULL.
+def _tag(text: Column) -> Column:
+    return F.hex(F.xxhash64(text))
 
-    `try_parse_json` stops after the first value and ignores what follows. Parsed as
-    the first item of a two-item array whose second item is a tag of the text, a
-    truncated, doubled or trailed value either fails or leaves the tag out of place.
+
+def tagged_json(text: Column) -> Column:
+    """A variant array of the text's JSON value and a tag of the text, or NULL.
+
+    `try_parse_json` stops after the first value and ignores what follows. As the first
+    item of an array whose second item is a tag of the text, a truncated, doubled or
+    trailed value either fails or leaves the tag out of place.
     """
-    tag = F.hex(F.xxhash64(text))
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), tag, F.lit('"]')))
-    whole = F.try_variant_get(pair, "$[1]", "string") == tag
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), _tag(text), F.lit('"]')))
+
+
+def tagged_value(pair: Column, text: Column) -> Column:
+    """The value of `tagged_json`, NULL if the text is not exactly one JSON value."""
+    whole = F.try_variant_get(pair, "$[1]", "string") == _tag(text)
     return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 
 
 def is_valid_json(text: Column) -> Column:
     """True for one whole JSON value; false for anything else, NULL and '' included."""
-    return whole_json(text).isNotNull()
+    return tagged_value(tagged_json(text), text).isNotNull()

@@ -401,7 +401,9 @@ def wire_lines(events: DataFrame) -> DataFrame:
 
 
 def _decoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_events(event_lines(wire_lines(given_events(spark, sf_dir)), PREFIX))
+    # Written first, as a feed of lines is.
+    lines = materialise(wire_lines(given_events(spark, sf_dir)))
+    return decode_events(event_lines(lines, PREFIX))
 
 
 def q_ingest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:

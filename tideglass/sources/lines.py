@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.functions.rawjson import whole_json
+from tideglass.functions.rawjson import tagged_json, tagged_value
 from tideglass.functions.text import trim_text
 from tideglass.functions.times import instant_text, parse_instant
-from tideglass.schemas import EVENT_KINDS, PROCESS_ID, WINDOW_SNAPSHOT
+from tideglass.schemas import EVENT_KINDS, PAYLOAD, PROCESS_ID, WINDOW_SNAPSHOT
 from tideglass.session import materialise
 
 MAX_PROCESS_ID = 2**64 - 1
@@ -58,53 +58,82 @@ def number_lines(lines: DataFrame, after: int = 0) -> DataFrame:
     )
 
 
-def _type_of(value: Column) -> Column:
-    """JSON type of a variant; absent and null are both 'VOID'."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-
-
-class _Fields:
-    """Typed access to the members of one JSON object, with the rule each must meet."""
-
-    def __init__(self, owner: Column, name: str = "") -> None:
-        self.owner, self.name = owner, name
-        self.rules: list[tuple[Column, str]] = []
-
-    def _member(self, field: str) -> Column:
-        return F.try_variant_get(self.owner, f"$.{field}", "variant")
-
-    def _require(self, field: str, accepted: Column) -> None:
-        self.rules.append((~accepted, f"bad_field:{self.name}{field}"))
-
-    def text(self, field: str, optional: bool = False) -> Column:
-        kinds = ("STRING", "VOID") if optional else ("STRING",)
-        self._require(field, _type_of(self._member(field)).isin(*kinds))
-        return F.try_variant_get(self.owner, f"$.{field}", "string")
-
-    def number(self, field: str) -> Column:
-        value = F.try_variant_get(self.owner, f"$.{field}", "double")
-        kind = _type_of(self._member(field))
+# Members of the wire record by the type each must have.
+_TEXT, _OPTIONAL_TEXT, _NUMBER, _PROCESS_ID, _WINDOW = "text", "text?", "number?", "pid?", "window?"
+_EVENT_MEMBERS = {
+    "occurred_at": _TEXT,
+    "kind": _TEXT,
+    "value": _TEXT,
+    "delta_x": _NUMBER,
+    "delta_y": _NUMBER,
+    "window": _WINDOW,
+    "raw_event": _OPTIONAL_TEXT,
+    "raw_window": _OPTIONAL_TEXT,
+    "collector_name": _TEXT,
+    "collector_version": _TEXT,
+}
+_WINDOW_MEMBERS = {
+    "app_name": _TEXT,
+    "process_path": _OPTIONAL_TEXT,
+    "process_id": _PROCESS_ID,
+    "title": _TEXT,
+    "x": _NUMBER,
+    "y": _NUMBER,
+    "width": _NUMBER,
+    "height": _NUMBER,
+}
+_CAST = {
+    _TEXT: "string",
+    _OPTIONAL_TEXT: "string",
+    _NUMBER: "double",
+    _PROCESS_ID: PROCESS_ID.simpleString(),
+}
+
+
+def _spread(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """Add computed columns behind a one-element array.
+
+    Like `withColumns`, but neither later columns nor filters are merged into the
+    computation, so each of the fields is computed once however often it is used.
+    """
+    record = F.struct(*[value.alias(name) for name, value in fields.items()])
+    return df.select(*df.columns, F.inline(F.array(record)))
+
+
+def _members(owner: Column, names) -> Column:
+    """The members of a JSON object as a struct of variants; NULL for anything else."""
+    shape = ", ".join(f"{name}: variant" for name in names)
+    return F.try_variant_get(owner, "$", f"struct<{shape}>")
+
+
+def _typed(owner: str, members: dict[str, str], prefix: str) -> dict[str, Column]:
+    """Value and JSON type of each member; absent and null are both 'VOID'."""
+    fields = {}
+    for name, rule in members.items():
+        member = F.col(f"{owner}.{name}")
+        fields[f"{prefix}t_{name}"] = F.coalesce(F.schema_of_variant(member), F.lit("VOID"))
+        if rule in _CAST:
+            fields[f"{prefix}v_{name}"] = F.try_variant_get(member, "$", _CAST[rule])
+    return fields
+
+
+def _accepted(name: str, rule: str, prefix: str) -> Column:
+    kind, value = F.col(f"{prefix}t_{name}"), F.col(f"{prefix}v_{name}")
+    if rule == _TEXT:
+        return kind == "STRING"
+    if rule == _OPTIONAL_TEXT:
+        return kind.isin("STRING", "VOID")
+    if rule == _WINDOW:
+        return kind.startswith("OBJECT") | (kind == "VOID")
+    if rule == _NUMBER:
         numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-        finite = numeric & F.coalesce(F.abs(value) < float("inf"), F.lit(False))
-        self._require(field, (kind == "VOID") | finite)
-        return value
-
-    def process_id(self, field: str) -> Column:
-        value = F.try_variant_get(self.owner, f"$.{field}", PROCESS_ID.simpleString())
-        kind = _type_of(self._member(field))
-        # Whole numbers up to 2**63 - 1 are BIGINT; larger ones are 20-digit decimals,
-        # which tells them from short decimals such as 42.0.
-        whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|20),0\)$")
-        in_range = F.coalesce(
-            (value >= 0) & (value <= F.lit(str(MAX_PROCESS_ID)).cast(PROCESS_ID)), F.lit(False)
-        )
-        self._require(field, (kind == "VOID") | (whole & in_range))
-        return value
-
-    def instant(self, field: str) -> Column:
-        value = parse_instant(self.text(field))
-        self._require(field, value.isNotNull())
-        return value
+        return (kind == "VOID") | (numeric & F.coalesce(F.abs(value) < float("inf"), F.lit(False)))
+    # Whole numbers up to 2**63 - 1 are BIGINT; larger ones are 20-digit decimals, which
+    # tells them from short decimals such as 42.0.
+    whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|20),0\)$")
+    highest = F.lit(str(MAX_PROCESS_ID)).cast(PROCESS_ID)
+    in_range = F.coalesce((value >= 0) & (value <= highest), F.lit(False))
+    return (kind == "VOID") | (whole & in_range)
 
 
 def decode_events(lines: DataFrame) -> DataFrame:
@@ -113,49 +142,41 @@ def decode_events(lines: DataFrame) -> DataFrame:
     Each payload is parsed once, into a variant; member types are checked on it, since
     `from_json` would take a number for a text and skip a missing member silently.
     """
-    parsed = lines.withColumn("_json", whole_json(F.col("payload"))).withColumn(
-        "_window", F.try_variant_get("_json", "$.window", "variant")
+    payload = F.col("payload")
+    tagged = _spread(lines, {"_pair": tagged_json(payload)})
+    parsed = _spread(tagged, {"_json": tagged_value(F.col("_pair"), payload)})
+    split = _spread(parsed, {"_event": _members(F.col("_json"), _EVENT_MEMBERS)})
+    inner = _spread(split, {"_inner": _members(F.col("_event.window"), _WINDOW_MEMBERS)})
+    typed = _spread(
+        inner,
+        _typed("_event", _EVENT_MEMBERS, "_") | _typed("_inner", _WINDOW_MEMBERS, "_w"),
     )
-    event = _Fields(F.col("_json"))
-    values = {
-        "occurred_at": event.instant("occurred_at"),
-        "kind": event.text("kind"),
-        "value": event.text("value"),
-        "delta_x": event.number("delta_x"),
-        "delta_y": event.number("delta_y"),
-        "raw_event": event.text("raw_event", optional=True),
-        "raw_window": event.text("raw_window", optional=True),
-        "collector_name": event.text("collector_name"),
-        "collector_version": event.text("collector_version"),
-    }
-    inner = _Fields(F.col("_window"), "window.")
-    snapshot = F.struct(
-        inner.text("app_name").alias("app_name"),
-        inner.text("process_path", optional=True).alias("process_path"),
-        inner.process_id("process_id").alias("process_id"),
-        inner.text("title").alias("title"),
-        *[inner.number(name).alias(name) for name in ("x", "y", "width", "height")],
-    ).cast(WINDOW_SNAPSHOT)
-
-    window_type = _type_of(F.col("_window"))
-    has_window = window_type.startswith("OBJECT")
+    timed = _spread(typed, {"occurred_at": parse_instant(F.col("_v_occurred_at"))})
+
+    has_window = F.col("_t_window").startswith("OBJECT")
     failures = [
-        (F.col("_json").isNull(), "not_json"),
-        (~F.schema_of_variant("_json").startswith("OBJECT"), "not_an_object"),
-        *event.rules,
-        (~values["kind"].isin(*EVENT_KINDS), "unknown_kind"),
-        (~has_window & (window_type != "VOID"), "bad_field:window"),
-        *[(has_window & broken, name) for broken, name in inner.rules],
+        ("not_json", F.col("_json").isNull()),
+        ("not_an_object", F.col("_event").isNull()),
+        *[(f"bad_field:{n}", ~_accepted(n, rule, "_")) for n, rule in _EVENT_MEMBERS.items()],
+        ("bad_field:occurred_at", F.col("occurred_at").isNull()),
+        ("unknown_kind", ~F.col("_v_kind").isin(*EVENT_KINDS)),
+        *[
+            (f"bad_field:window.{n}", has_window & ~_accepted(n, rule, "_w"))
+            for n, rule in _WINDOW_MEMBERS.items()
+        ],
     ]
-    reason = F.coalesce(*[F.when(broken, F.lit(name)) for broken, name in failures])
-    record = F.struct(
-        *[value.alias(name) for name, value in values.items()],
-        F.when(has_window, snapshot).alias("window"),
-        reason.alias("reason"),
+    snapshot = F.struct(*[F.col(f"_wv_{f.name}").alias(f.name) for f in WINDOW_SNAPSHOT.fields])
+    values = {
+        name: F.col(f"_v_{name}").alias(name)
+        for name in _EVENT_MEMBERS
+        if name not in ("occurred_at", "window")
+    }
+    values["occurred_at"] = F.col("occurred_at")
+    values["window"] = F.when(has_window, snapshot).alias("window")
+    reason = F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in failures])
+    return timed.select(
+        *lines.columns, *[values[name] for name in PAYLOAD.names], reason.alias("reason")
     )
-    # Spreading a one-element array keeps filters on `reason` above the decoding; pushed
-    # below it, they would repeat the parsing once per rule.
-    return parsed.select(*lines.columns, F.inline(F.array(record)))
 
 
 def valid_events(decoded: DataFrame) -> DataFrame:
