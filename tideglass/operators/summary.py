@@ -46,14 +46,17 @@ def in_range(
     return events
 
 
+def _kinds(kinds: tuple[str, ...]) -> str:
+    return ", ".join(f"'{kind}'" for kind in kinds)
+
+
 def kind_counts() -> list[Column]:
     """All events, and those of each group of kinds."""
-    kind = F.col("event_kind")
     return [
-        F.count(F.lit(1)).alias("total_events"),
-        F.count_if(kind.isin(*KEY_KINDS)).alias("key_events"),
-        F.count_if(kind.isin(*BUTTON_KINDS)).alias("button_events"),
-        F.count_if(kind == WHEEL_KIND).alias("wheel_events"),
+        F.expr("count(*) AS total_events"),
+        F.expr(f"count_if(event_kind IN ({_kinds(KEY_KINDS)})) AS key_events"),
+        F.expr(f"count_if(event_kind IN ({_kinds(BUTTON_KINDS)})) AS button_events"),
+        F.expr(f"count_if(event_kind = '{WHEEL_KIND}') AS wheel_events"),
     ]
 
 
@@ -70,11 +73,13 @@ def activity_summary(
     )
     named = per_window.join(windows.select("window_id", "app_name"), "window_id", "left")
     return summarise(
-        named.withColumns(
-            {
-                "app_name": F.coalesce("app_name", F.lit(UNKNOWN_APP)),
-                "active_windows": F.col("window_id").isNotNull().cast("bigint"),
-            }
+        named.selectExpr(
+            f"coalesce(app_name, '{UNKNOWN_APP}') AS app_name",
+            "CAST(window_id IS NOT NULL AS BIGINT) AS active_windows",
+            "total_events",
+            "key_events",
+            "button_events",
+            "wheel_events",
         )
     )
 
@@ -85,38 +90,32 @@ def summarise(per_window: DataFrame) -> DataFrame:
     A rollup by application gives the grand total and the counts per application from
     the same pass, and only the grand total and the top rows reach the last step.
     """
-    grouped = per_window.rollup("app_name").agg(
-        F.grouping("app_name").alias("is_total"),
-        *[F.sum(name).alias(name) for name in TOTALS],
-    )
-    kept = grouped.orderBy(
-        F.col("is_total").desc(), F.col("total_events").desc(), F.col("app_name").asc()
-    ).limit(TOP_APPS_LIMIT + 1)
-
-    is_total = F.col("is_total") == 1
-    ranked = F.struct(
-        (-F.col("total_events")).alias("rank_key"),
-        F.col("app_name"),
-        F.col("total_events").alias("event_count"),
+    kept = (
+        per_window.rollup("app_name")
+        .agg(
+            F.expr("grouping(app_name) = 1 AS is_total"),
+            *[F.expr(f"sum({name}) AS {name}") for name in TOTALS],
+        )
+        .orderBy("is_total", "total_events", "app_name", ascending=[False, False, True])
+        .limit(TOP_APPS_LIMIT + 1)
     )
     one = kept.agg(
-        *[
-            F.coalesce(F.max(F.when(is_total, F.col(name))), F.lit(0)).alias(name)
-            for name in TOTALS
-        ],
-        F.sort_array(F.collect_list(F.when(~is_total, ranked))).alias("ranked"),
+        *[F.expr(f"coalesce(max({name}) FILTER (WHERE is_total), 0) AS {name}") for name in TOTALS],
+        F.expr(
+            "sort_array(collect_list(struct(-total_events AS rank_key, app_name, "
+            "total_events AS event_count)) FILTER (WHERE NOT is_total)) AS ranked"
+        ),
+    )
+    # The share is of all events in range, not of the listed ones.
+    return one.selectExpr(
+        *TOTALS,
+        """transform(ranked, app -> struct(
+            app.app_name AS app_name,
+            app.event_count AS event_count,
+            IF(total_events = 0, 0D,
+               CAST(app.event_count AS DOUBLE) / CAST(total_events AS DOUBLE) * 100D) AS share
+        )) AS top_apps""",
     )
-    total = F.col("total_events")
-
-    def entry(app: Column) -> Column:
-        # The share is of all events in range, not of the listed ones.
-        count = app["event_count"]
-        share = F.when(total == 0, F.lit(0.0)).otherwise(
-            count.cast("double") / total.cast("double") * F.lit(100.0)
-        )
-        return F.struct(app["app_name"].alias("app_name"), count.alias("event_count"), share.alias("share"))
-
-    return one.withColumn("top_apps", F.transform("ranked", entry)).drop("ranked")
 
 
 def with_pointer_events(summary: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,6 +198,12 @@ def all_records(events: DataFrame, windows: DataFrame) -> DataFrame:
     return found.select(F.struct(*[f.name for f in EVENT.fields]).alias("event"), "window")
 
 
+def _among(column: str, values) -> Column:
+    """`column IN (...)` for a page's integers or dates, as one expression."""
+    listed = [f"DATE '{v}'" if isinstance(v, date) else str(int(v)) for v in values]
+    return F.expr(f"{column} IN ({', '.join(listed)})") if listed else F.lit(False)
+
+
 def _page_days(
     per_day: list[tuple], descending: bool, offset: int, size: int
 ) -> tuple[list, int]:
@@ -256,7 +262,7 @@ def list_events(events: DataFrame, windows: DataFrame, query: EventQuery) -> Pag
         matches = matching_events(events, windows, query, with_app=True)
     elif sort_by == "occurred_at" and dated:
         days, place = _page_days(per_day, descending, offset, size)
-        matches = matches.where(F.col("occurred_date").isin(days))
+        matches = matches.where(_among("occurred_date", days))
 
     found = []
     if offset < total:
@@ -266,13 +272,13 @@ def list_events(events: DataFrame, windows: DataFrame, query: EventQuery) -> Pag
             "event_id", "window_id", *days_column
         ).collect()
 
-    rows = events.where(F.col("event_id").isin([r["event_id"] for r in found]))
+    rows = events.where(_among("event_id", [r["event_id"] for r in found]))
     if dated:
-        rows = rows.where(F.col("occurred_date").isin(list({r["occurred_date"] for r in found})))
+        rows = rows.where(_among("occurred_date", {r["occurred_date"] for r in found}))
     window_ids = {r["window_id"] for r in found} - {None}
     rows = joined_records(
         rows.select(*[f.name for f in EVENT.fields]),
-        windows.where(F.col("window_id").isin(list(window_ids))),
+        windows.where(_among("window_id", window_ids)),
     )
     if sort_by == "app_name":
         rows = rows.withColumn("app_name", F.col("window.app_name"))

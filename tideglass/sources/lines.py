@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideglass.functions.rawjson import tagged_json, tagged_value
 from tideglass.functions.text import trim_text
 from tideglass.functions.times import instant_text, parse_instant
+from tideglass.operators.lookup import lookup_join
 from tideglass.schemas import EVENT_KINDS, PAYLOAD, PROCESS_ID, WINDOW_SNAPSHOT
 from tideglass.session import materialise
 
@@ -45,14 +46,20 @@ def number_lines(lines: DataFrame, after: int = 0) -> DataFrame:
     splits = landed.groupBy(*_SPLIT).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_slot").alias("_first")
     )
+    # One row per file split: 100 TB in 128 MB splits are under a million rows.
     earlier = Window.orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "file_path",
-        "file_start",
-        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+    shifts = materialise(
+        splits.select(
+            "file_path",
+            "file_start",
+            "_rows",
+            (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+        )
     )
     return (
-        landed.join(offsets, ["file_path", "file_start"])
+        lookup_join(
+            landed, shifts, ["file_path", "file_start"], weight="_rows", spread="_slot", how="inner"
+        )
         .withColumn("event_id", F.lit(after + 1) + F.col("_slot") + F.col("_shift"))
         .drop("_slot", "_shift", *_SPLIT)
     )
