@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.functions.hashing import context_hash
-from tideglass.operators.lookup import lookup_join
+from tideglass.operators.lookup import BROADCAST_BYTES, content_bytes, lookup_join
 from tideglass.operators.numbering import number_rows
 from tideglass.schemas import GEOMETRY, IDENTITY, WINDOW_STATE
 from tideglass.session import materialise
@@ -88,8 +88,13 @@ def advance_dimension(
     `after` is the highest id given so far. Returns the next dimension and the batch's
     (context_hash, window_id) pairs. Both joins work on one row per hash.
     """
+    batch = fold(partials)
+    if after == 0:
+        # No window has been numbered yet: all of the batch's windows are new.
+        fresh = number_windows(batch)
+        return fresh, fresh.select("context_hash", "window_id")
     batch = materialise(
-        fold(partials).join(current.select("context_hash", "window_id"), "context_hash", "left")
+        batch.join(current.select("context_hash", "window_id"), "context_hash", "left")
     )
     fresh = number_windows(batch.where(F.col("window_id").isNull()).drop("window_id"), after)
     known = shape(batch.where(F.col("window_id").isNotNull()))
@@ -98,19 +103,21 @@ def advance_dimension(
     return following, pairs
 
 
-def identity_map(partials: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every spelling of the batch with its window id and number of events."""
-    return partials.select("context_hash", *IDENTITY, "event_count").join(
-        pairs, "context_hash"
-    ).drop("context_hash")
-
-
-def assign_windows(arrivals: DataFrame, spellings: DataFrame) -> DataFrame:
+def assign_windows(arrivals: DataFrame, partials: DataFrame, pairs: DataFrame) -> DataFrame:
     """Add `window_id` to arrivals by looking their identity up; NULL without a window.
 
-    `spellings` is a stored identity_map. Comparing the four fields finds the same
-    window as comparing hashes, and spares hashing every event.
+    `partials` are the stored identity_partials of the arrivals, `pairs` their window ids
+    by hash. Comparing the four identity fields finds the same window as comparing hashes,
+    and spares hashing every event.
     """
+    spellings = (
+        partials.select("context_hash", *IDENTITY, "event_count")
+        .join(pairs, "context_hash")
+        .drop("context_hash")
+    )
+    size = content_bytes(partials)
+    if size > BROADCAST_BYTES:
+        spellings = materialise(spellings)
     names = {name: f"_window_{name}" for name in IDENTITY}
     facts = arrivals.withColumns(
         {alias: F.col(f"window.{name}") for name, alias in names.items()}
@@ -121,5 +128,6 @@ def assign_windows(arrivals: DataFrame, spellings: DataFrame) -> DataFrame:
         list(names.values()),
         weight="event_count",
         spread="event_id",
+        dim_bytes=size,
     )
     return found.drop(*names.values())

@@ -151,7 +151,8 @@ class TimelineStore:
 
     def snapshot(self) -> Snapshot:
         try:
-            rows = self.spark.read.schema(_COMMIT).json(f"{self.root}/commits/*").collect()
+            found = self.spark.read.schema(_COMMIT).json(f"{self.root}/commits/*").collect()
+            rows = [row.asDict() for row in found]
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -215,8 +216,7 @@ class TimelineStore:
         windows_path = f"{self.root}/windows/version={version}"
         following.write.mode("overwrite").parquet(windows_path)
 
-        spellings = materialise(dim.identity_map(partials, pairs))
-        records = to_records(dim.assign_windows(payloads, spellings))
+        records = to_records(dim.assign_windows(payloads, partials, pairs))
         events_path = f"{self.root}/events/version={version}"
         (
             records.withColumn("occurred_date", F.to_date("occurred_at"))
@@ -227,24 +227,24 @@ class TimelineStore:
             .parquet(events_path)
         )
 
-        written = (
-            self.spark.read.schema(EVENT)
-            .parquet(events_path)
-            .agg(
-                F.count(F.lit(1)).alias("events"),
-                F.min("event_id").alias("first_event_id"),
-                F.max("event_id").alias("last_event_id"),
+        written = self.spark.read.schema(EVENT).parquet(events_path)
+        counted = written.selectExpr(
+            "count(*) AS events",
+            "min(event_id) AS first_event_id",
+            "max(event_id) AS last_event_id",
+        ).first()
+        newest = pairs.agg(F.max("window_id")).first()[0] or 0
+        commit = dict(
+            zip(
+                _COMMIT.names,
+                (version, source, source_batch, *counted, max(newest, before.last_window_id)),
+                strict=True,
             )
-            .first()
-        )
-        last_window = (
-            self.spark.read.schema(WINDOW_STATE).parquet(windows_path).agg(F.max("window_id")).first()[0]
-        )
-        commit = (version, source, source_batch, *written, last_window)
-        self.spark.createDataFrame([commit], _COMMIT).coalesce(1).write.mode("overwrite").json(
-            f"{self.root}/commits/version={version}"
         )
-        return self.snapshot()
+        self.spark.range(1).coalesce(1).select(
+            *[F.lit(commit[f.name]).cast(f.dataType).alias(f.name) for f in _COMMIT.fields]
+        ).write.mode("overwrite").json(f"{self.root}/commits/version={version}")
+        return Snapshot(self.spark, self.root, (*before.commits, commit))
 
 
 def to_records(payloads: DataFrame) -> DataFrame:
