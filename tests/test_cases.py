@@ -1,5 +1,7 @@
 """The data cases every implementation of the timeline must meet."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import arrivals_of, at, event, window
 from tideglass.functions.hashing import context_hash
 from tideglass.operators.timeline import EventQuery, WindowQuery
-from tideglass.store import TimelineStore, reject_reason
+from tideglass.store import TimelineStore
 
 
 def hash_of(spark, seen):
@@ -121,7 +123,7 @@ def test_collector_defaults(ingest):
     assert row["created_at"] is not None
 
 
-def test_constraints_on_typed_payloads(spark):
+def test_rows_that_break_a_constraint_are_quarantined(spark, tmp_path):
     rows = arrivals_of(
         spark,
         [
@@ -130,10 +132,20 @@ def test_constraints_on_typed_payloads(spark):
             event("KeyA", occurred_at=None),
             event("KeyA", kind="key_hold"),
             event("KeyA", window(None)),
+            event("KeyA", window(process_id=Decimal(-1))),
+            event("KeyB", window(process_id=Decimal(2**64))),
         ],
     )
-    found = [r["reason"] for r in reject_reason(rows).orderBy("event_id").collect()]
-    assert found == [None, "missing:value", "missing:occurred_at", "unknown_kind", "missing:window.title"]
+    store = TimelineStore(spark, str(tmp_path))
+    s = store.ingest(rows)
+    assert [r["event_id"] for r in s.events.collect()] == [1]
+    assert s.windows.isEmpty()
+    found = store.quarantine().orderBy("event_id").collect()
+    assert [r["reason"] for r in found] == [
+        "missing:value", "missing:occurred_at", "unknown_kind", "missing:window.title",
+        "out_of_range:window.process_id", "out_of_range:window.process_id",
+    ]
+    assert '"kind":"key_hold"' in found[2]["payload"]
 
 
 def test_empty_store(spark, tmp_path):

@@ -196,15 +196,17 @@ def quarantined(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("reason").isNotNull()).select(*ids, "payload", "reason")
 
 
-def to_wire(payloads: DataFrame, prefix: str = "") -> DataFrame:
-    """Events as lines a line source can read: prefix and JSON, nulls written out."""
-    body = F.to_json(
+def wire_json() -> Column:
+    """A payload row as JSON, nulls written out."""
+    return F.to_json(
         F.struct(
             instant_text(F.col("occurred_at")).alias("occurred_at"),
-            *[F.col(name) for name in ("kind", "value", "delta_x", "delta_y", "window")],
-            *[F.col(name) for name in ("raw_event", "raw_window")],
-            *[F.col(name) for name in ("collector_name", "collector_version")],
+            *[F.col(name) for name in PAYLOAD.names if name != "occurred_at"],
         ),
         {"ignoreNullFields": "false"},
     )
-    return payloads.select(F.concat(F.lit(prefix), body).alias("value"))
+
+
+def to_wire(payloads: DataFrame, prefix: str = "") -> DataFrame:
+    """Events as lines a line source can read: prefix and JSON."""
+    return payloads.select(F.concat(F.lit(prefix), wire_json()).alias("value"))

@@ -31,12 +31,18 @@ from tideglass.schemas import (
     DEFAULT_COLLECTOR_VERSION,
     EVENT,
     EVENT_KINDS,
-    PAYLOAD,
+    PROCESS_ID,
     WINDOW,
     WINDOW_STATE,
 )
 from tideglass.session import materialise, prepare
-from tideglass.sources.lines import decode_events, event_lines, number_lines
+from tideglass.sources.lines import (
+    MAX_PROCESS_ID,
+    decode_events,
+    event_lines,
+    number_lines,
+    wire_json,
+)
 
 _COMMIT = T.StructType(
     [
@@ -78,6 +84,12 @@ class Snapshot:
     def last_window_id(self) -> int:
         return (self.commits[-1]["last_window_id"] or 0) if self.commits else 0
 
+    def holds(self, source: str, source_batch: int | None) -> bool:
+        """Whether the named batch is committed; an unnamed one never is."""
+        return source_batch is not None and any(
+            (c["source"], c["source_batch"]) == (source, source_batch) for c in self.commits
+        )
+
     @cached_property
     def log(self) -> DataFrame:
         """The event log with its partition columns."""
@@ -164,15 +176,20 @@ class TimelineStore:
     ) -> Snapshot:
         """Append payloads that carry an `event_id` in arrival order, and fold the dimension.
 
-        `(source, source_batch)` names the batch: one that is committed already is skipped,
-        which makes a replayed micro-batch harmless.
+        Rows that break a constraint of the log go to the quarantine. `(source,
+        source_batch)` names the batch: one that is committed already is skipped, which
+        makes a replayed micro-batch harmless.
         """
         before = self.snapshot()
-        if source_batch is not None and any(
-            (c["source"], c["source_batch"]) == (source, source_batch) for c in before.commits
-        ):
+        if before.holds(source, source_batch):
             return before
-        return self._append(before, payloads, source, source_batch)
+        checked = reject_reason(payloads)
+        rejected = checked.where(F.col("reason").isNotNull())
+        self._write_quarantine(
+            before.version + 1, rejected.select("event_id", wire_json().alias("payload"), "reason")
+        )
+        accepted = checked.where(F.col("reason").isNull()).drop("reason")
+        return self._append(before, accepted, source, source_batch)
 
     def ingest_lines(
         self,
@@ -183,15 +200,13 @@ class TimelineStore:
     ) -> Snapshot:
         """Append a batch of text lines; malformed ones go to the quarantine."""
         before = self.snapshot()
-        if source_batch is not None and any(
-            (c["source"], c["source_batch"]) == (source, source_batch) for c in before.commits
-        ):
+        if before.holds(source, source_batch):
             return before
         numbered = number_lines(event_lines(lines, prefix), before.last_event_id)
         decoded = materialise(decode_events(numbered))
         rejected = decoded.where(F.col("reason").isNotNull())
-        rejected.select("event_id", "payload", "reason").write.mode("overwrite").parquet(
-            f"{self.root}/quarantine/version={before.version + 1}"
+        self._write_quarantine(
+            before.version + 1, rejected.select("event_id", "payload", "reason")
         )
         accepted = decoded.where(F.col("reason").isNull()).drop("reason", "payload")
         return self._append(before, accepted, source, source_batch)
@@ -205,6 +220,9 @@ class TimelineStore:
             .where(F.col("version") <= version)
         )
 
+    def _write_quarantine(self, version: int, rejected: DataFrame) -> None:
+        rejected.write.mode("overwrite").parquet(f"{self.root}/quarantine/version={version}")
+
     def _append(
         self, before: Snapshot, payloads: DataFrame, source: str, source_batch: int | None
     ) -> Snapshot:
@@ -269,20 +287,22 @@ def to_records(payloads: DataFrame) -> DataFrame:
 
 def reject_reason(payloads: DataFrame) -> DataFrame:
     """Add `reason` to typed payloads: the first log constraint a row breaks, else NULL."""
+    process_id = F.col("window.process_id")
     rules = [
         *[
-            (F.col(name).isNull(), f"missing:{name}") for name in ("occurred_at", "kind", "value")
+            (F.col(name).isNull(), f"missing:{name}")
+            for name in ("event_id", "occurred_at", "kind", "value")
         ],
         (~F.col("kind").isin(*EVENT_KINDS), "unknown_kind"),
         *[
             (F.col("window").isNotNull() & F.col(f"window.{name}").isNull(), f"missing:window.{name}")
             for name in ("app_name", "title")
         ],
+        (
+            (process_id < 0) | (process_id > F.lit(str(MAX_PROCESS_ID)).cast(PROCESS_ID)),
+            "out_of_range:window.process_id",
+        ),
     ]
     return payloads.withColumn(
         "reason", F.coalesce(*[F.when(broken, F.lit(name)) for broken, name in rules])
     )
-
-
-def empty_payloads(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], T.StructType([T.StructField("event_id", T.LongType()), *PAYLOAD.fields]))
