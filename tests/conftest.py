@@ -26,6 +26,9 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
+            # Compiling every small plan costs more than running it; the SQL check tool
+            # runs all queries with compiled plans.
+            "spark.sql.codegen.wholeStage": "false",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -214,6 +214,8 @@ class TimelineStore:
     def quarantine(self) -> DataFrame:
         version = self.snapshot().version
         schema = "event_id bigint, payload string, reason string, version bigint"
+        if version == 0:
+            return self.spark.createDataFrame([], schema)
         return (
             self.spark.read.schema(schema)
             .parquet(f"{self.root}/quarantine")
