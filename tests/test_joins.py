@@ -30,7 +30,9 @@ def tables(spark):
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_path_equals_broadcast_path(spark, monkeypatch, how):
     facts, dim = tables(spark)
-    join = lambda: lookup_join(facts, dim, ["k", "k2"], weight="n", spread="fact", how=how)
+    join = lambda: lookup_join(
+        facts, dim, ["k", "k2"], nullable=["k2"], weight="n", spread="fact", how=how
+    )
     monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1 << 30)
     small = join()
     monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
@@ -48,7 +50,7 @@ def test_salting_evens_out_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(lookup, "_equal_join", spy := Spy(lookup._equal_join))
     facts, dim = tables(spark)
-    lookup_join(facts, dim, ["k", "k2"], weight="n", spread="fact").count()
+    lookup_join(facts, dim, ["k", "k2"], nullable=["k2"], weight="n", spread="fact").count()
     salted_facts, salted_dim = spy.calls[-1][:2]
     hot = salted_facts.where("k = 0").groupBy("_salt").count().collect()
     assert len(hot) > 1 and max(r["count"] for r in hot) < 700

@@ -132,16 +132,28 @@ def test_sorts_break_ties_by_id_in_the_same_direction(mixed):
     assert ids(mixed.list_events(EventQuery(sort_by="value"))) == [4, 1, 6, 3, 5, 2]
 
 
-def test_every_page_of_every_sort(mixed, monkeypatch):
-    """Pages by top-k and by numbered rows both cut the sorted list."""
+@pytest.mark.parametrize("top_k, direct", [(10_000, 10_000_000), (10_000, 0), (0, 0)])
+def test_every_page_of_every_sort(mixed, monkeypatch, top_k, direct):
+    """Pages by plain top-k, by thinned top-k and by numbered rows all cut the sorted list."""
     for sort_by in timeline.EVENT_SORTS:
         whole = ids(mixed.list_events(EventQuery(sort_by=sort_by)))
-        for top_k in (50_000, 0):
-            monkeypatch.setattr(timeline, "TOP_K_ROWS", top_k)
-            for cursor in (0, 1, 3):
-                page = mixed.list_events(EventQuery(sort_by=sort_by, cursor=cursor, size=2))
-                assert ids(page) == whole[cursor : cursor + 2]
-                assert [r["pos"] for r in page.rows.collect()] == list(range(cursor, cursor + 2))
+        monkeypatch.setattr(timeline, "TOP_K_ROWS", top_k)
+        monkeypatch.setattr(timeline, "DIRECT_ROWS", direct)
+        for cursor in (1, 3):
+            page = mixed.list_events(EventQuery(sort_by=sort_by, cursor=cursor, size=2))
+            assert ids(page) == whole[cursor : cursor + 2]
+            assert [r["pos"] for r in page.rows.collect()] == [cursor, cursor + 1]
+        monkeypatch.undo()
+
+
+def test_thinned_top_k_on_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "DIRECT_ROWS", 0)
+    monkeypatch.setattr(timeline, "LAST_STEP_ROWS", 300)
+    df = spark.range(5000).selectExpr("xxhash64(id) % 40 AS v", "id AS event_id").repartition(9)
+    order = timeline.sort_keys("v", "event_id", "desc")
+    rows = timeline._page_of(df, "event_id", order, 90, 30, 5000).collect()
+    wanted = sorted(df.collect(), reverse=True)[90:120]
+    assert rows == wanted
 
 
 def test_past_the_end_keeps_page_and_total(mixed):

@@ -126,6 +126,7 @@ def assign_windows(arrivals: DataFrame, partials: DataFrame, pairs: DataFrame) -
         facts,
         spellings.withColumnsRenamed(names),
         list(names.values()),
+        nullable=[names["process_id"], names["process_path"]],
         weight="event_count",
         spread="event_id",
         dim_bytes=size,

@@ -32,10 +32,11 @@ def lookup_join(
     *,
     weight: str,
     spread: str,
+    nullable: Sequence[str] = (),
     how: str = "left",
     dim_bytes: int | None = None,
 ) -> DataFrame:
-    """Join `facts` to `dim`, which is unique on `keys`; a NULL key field matches NULL.
+    """Join `facts` to `dim`, which is unique on `keys`; NULL matches NULL in `nullable` keys.
 
     A dimension measured below BROADCAST_BYTES is broadcast, so the facts are not
     shuffled at all. A larger one is shuffled on the keys plus a salt: `weight` is a
@@ -49,19 +50,33 @@ def lookup_join(
     if dim_bytes is None:
         dim_bytes = content_bytes(dim)
     if dim_bytes <= BROADCAST_BYTES:
-        return _equal_join(facts, F.broadcast(dim.drop(weight)), keys, how)
-    return _salted_join(facts, dim, keys, weight=weight, spread=spread, how=how)
+        return _equal_join(facts, F.broadcast(dim.drop(weight)), keys, nullable, how)
+    return _salted_join(facts, dim, keys, nullable, weight=weight, spread=spread, how=how)
 
 
-def _equal_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def _equal_join(
+    facts: DataFrame, dim: DataFrame, keys: Sequence[str], nullable: Sequence[str], how: str
+) -> DataFrame:
     renamed = dim.withColumnsRenamed({key: f"_dim_{key}" for key in keys})
-    matches = [F.col(key).eqNullSafe(F.col(f"_dim_{key}")) for key in keys]
+    matches = [
+        F.col(key).eqNullSafe(F.col(f"_dim_{key}"))
+        if key in nullable
+        else F.col(key) == F.col(f"_dim_{key}")
+        for key in keys
+    ]
     joined = facts.join(renamed, reduce(lambda a, b: a & b, matches), how)
     return joined.drop(*[f"_dim_{key}" for key in keys])
 
 
 def _salted_join(
-    facts: DataFrame, dim: DataFrame, keys: Sequence[str], *, weight: str, spread: str, how: str
+    facts: DataFrame,
+    dim: DataFrame,
+    keys: Sequence[str],
+    nullable: Sequence[str],
+    *,
+    weight: str,
+    spread: str,
+    how: str,
 ) -> DataFrame:
     partitions = int(dim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = dim.agg(F.sum(weight)).first()[0] or 0
@@ -76,8 +91,8 @@ def _salted_join(
         F.coalesce(F.col("_salts"), F.lit(1))
     )
     salted_facts = (
-        _equal_join(facts, F.broadcast(hot), keys, "left")
+        _equal_join(facts, F.broadcast(hot), keys, nullable, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread), spread_over).cast("int"))
         .drop("_salts")
     )
-    return _equal_join(salted_facts, salted_dim, [*keys, "_salt"], how).drop("_salt")
+    return _equal_join(salted_facts, salted_dim, [*keys, "_salt"], nullable, how).drop("_salt")

@@ -11,8 +11,8 @@ from tideglass.session import materialise
 
 # monotonically_increasing_id() keeps the task in the upper bits and counts the
 # rows of a task from zero in the lower 33.
-_ROW_BITS = 33
-_ROW_MASK = (1 << _ROW_BITS) - 1
+ROW_BITS = 33
+ROW_MASK = (1 << ROW_BITS) - 1
 
 
 def number_rows(
@@ -26,7 +26,7 @@ def number_rows(
     """
     placed = materialise(
         df.orderBy(*order_by).withColumn("_slot", F.monotonically_increasing_id())
-    ).withColumn("_task", F.shiftright("_slot", _ROW_BITS))
+    ).withColumn("_task", F.shiftright("_slot", ROW_BITS))
     sizes = placed.groupBy("_task").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -36,7 +36,7 @@ def number_rows(
     return (
         placed.join(F.broadcast(offsets), "_task")
         .withColumn(
-            out, F.lit(start) + F.col("_before") + F.col("_slot").bitwiseAND(F.lit(_ROW_MASK))
+            out, F.lit(start) + F.col("_before") + F.col("_slot").bitwiseAND(F.lit(ROW_MASK))
         )
         .drop("_task", "_slot", "_before")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.text import contains_text, normalise_search
 from tideglass.operators.lookup import content_bytes, lookup_join
-from tideglass.operators.numbering import number_rows
+from tideglass.operators.numbering import ROW_MASK, number_rows
 from tideglass.operators.summary import in_range
 from tideglass.schemas import (
     DEFAULT_PAGE,
@@ -30,9 +30,13 @@ EVENT_SORTS = {
 }
 WINDOW_SORTS = ("last_seen_at", "first_seen_at", "window_id", "app_name", "event_count")
 
-# A page that ends below this row is found by a top-k, whose last step holds the rows
-# before the page in one task; beyond it rows are numbered by a distributed sort.
-TOP_K_ROWS = 50_000
+# A page that ends below TOP_K_ROWS is found by a top-k; beyond it rows are numbered by a
+# distributed sort. The last step of a top-k is one task: it meets at most DIRECT_ROWS rows,
+# and from a longer list the candidates are thinned out first.
+TOP_K_ROWS = 10_000
+DIRECT_ROWS = 10_000_000
+LAST_STEP_ROWS = 1_000_000
+MAX_GROUPS = 1000
 
 
 @dataclass(frozen=True)
@@ -217,15 +221,30 @@ def _page_days(
     return days, start or 0
 
 
+def _first_of_each_task(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
+    """Each task's first rows, by a local sort; no shuffle."""
+    return (
+        df.sortWithinPartitions(*order)
+        .withColumn("_slot", F.monotonically_increasing_id())
+        .where(F.col("_slot").bitwiseAND(F.lit(ROW_MASK)) < rows)
+        .drop("_slot")
+    )
+
+
 def _page_of(
-    keys: DataFrame, order: list[Column], offset: int, size: int
+    keys: DataFrame, tie: str, order: list[Column], offset: int, size: int, total: int
 ) -> DataFrame:
-    if offset + size <= TOP_K_ROWS:
+    """Rows [offset, offset + size) of `total` rows in an order that `tie` makes total."""
+    last = offset + size
+    if last <= TOP_K_ROWS:
+        if total > DIRECT_ROWS:
+            # The page is among the first rows of each task, and again of each group.
+            groups = min(max(LAST_STEP_ROWS // last, 1), MAX_GROUPS)
+            first = _first_of_each_task(keys, order, last).repartition(groups, tie)
+            keys = _first_of_each_task(first, order, last)
         return keys.orderBy(*order).offset(offset).limit(size)
     place = F.col("_place")
-    return number_rows(keys, order, "_place", start=0).where(
-        (place >= offset) & (place < offset + size)
-    )
+    return number_rows(keys, order, "_place", start=0).where((place >= offset) & (place < last))
 
 
 def _with_pos(rows: DataFrame, order: list[Column], offset: int) -> DataFrame:
@@ -268,9 +287,12 @@ def list_events(events: DataFrame, windows: DataFrame, query: EventQuery) -> Pag
     if offset < total:
         days_column = ["occurred_date"] if dated else []
         wanted = list(dict.fromkeys(["event_id", column, "window_id", *days_column]))
-        found = _page_of(matches.select(*wanted), order, place, size).select(
-            "event_id", "window_id", *days_column
-        ).collect()
+        keys = matches.select(*wanted)
+        found = (
+            _page_of(keys, "event_id", order, place, size, total)
+            .select("event_id", "window_id", *days_column)
+            .collect()
+        )
 
     rows = events.where(_among("event_id", [r["event_id"] for r in found]))
     if dated:
@@ -298,7 +320,7 @@ def list_windows(windows: DataFrame, query: WindowQuery) -> Page:
         *[f.name for f in WINDOW.fields]
     )
     total = matches.count()
-    rows = _with_pos(_page_of(matches, order, offset, size), order, offset)
+    rows = _with_pos(_page_of(matches, "window_id", order, offset, size, total), order, offset)
     rows = rows.select("pos", *[f.name for f in WINDOW.fields])
     return Page(page, size, total, page_count(total, size), rows.orderBy("pos"))
 
