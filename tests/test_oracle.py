@@ -12,13 +12,16 @@ DATA = Path("/root/testdata/sf0.001")
 sys.path.insert(0, str(ROOT / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
+from tideglass.plans import oracle  # noqa: E402
+from tideglass.plans import queries as registry  # noqa: E402
 from check_oracle import rows_of  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no given tables")
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(oracle.oracle_sql())
+    assert set(registry.queries()) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +32,10 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, str(DATA))
-    cursor = duck.execute(entry.oracle_sql()[name])
+    df = registry.queries()[name](spark, str(DATA))
+    cursor = duck.execute(oracle.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cursor.fetchall())
