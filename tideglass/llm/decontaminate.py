@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,31 +108,37 @@ def _item_blocks(items: DataFrame, key: str, block_bytes: int):
         yield count, [(row.item_id, row.text.encode()) for row in block.collect()]
 
 
+_FOUND_TYPE = "struct<n_words: bigint, spans: array<bigint>, items: array<bigint>>"
+
+
+def _finder(tables: Broadcast):
+    """The search for one block of patterns, added to what earlier blocks found."""
+
+    def find(texts: pa.Array, before: pa.Array) -> pa.Array:
+        found = []
+        for text, known in zip(texts, before.to_pylist(), strict=True):
+            words = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
+            spans = known["spans"] if known else []
+            items = set(known["items"]) if known else set()
+            for one in tables.value:
+                for start, ids in one.search(words):
+                    if spans and spans[-2] <= start <= spans[-1]:
+                        spans[-1] = max(spans[-1], start + one.length)
+                    else:
+                        spans += (start, start + one.length)
+                    items.update(ids)
+            found.append({"n_words": len(words), "spans": spans, "items": sorted(items)})
+        return pa.array(found, type=_FOUND)
+
+    return F.arrow_udf(find, _FOUND_TYPE)
+
+
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with `_found`: number of words, ranges of words hit, ids of the items found."""
     spark = ship(docs.sparkSession)
-    schema = "struct<n_words: bigint, spans: array<bigint>, items: array<bigint>>"
-    state, done = docs.withColumn("_found", F.lit(None).cast(schema)), 0
+    state, done = docs.withColumn("_found", F.lit(None).cast(_FOUND_TYPE)), 0
     for count, block in _item_blocks(benchmark, "item_id", block_bytes):
-        tables = spark.sparkContext.broadcast(compile_items(block, window))
-
-        @F.arrow_udf(schema)
-        def find(texts: pa.Array, before: pa.Array, tables=tables) -> pa.Array:
-            found = []
-            for text, known in zip(texts, before.to_pylist(), strict=True):
-                words = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
-                spans = known["spans"] if known else []
-                items = set(known["items"]) if known else set()
-                for one in tables.value:
-                    for start, ids in one.search(words):
-                        if spans and spans[-2] <= start <= spans[-1]:
-                            spans[-1] = max(spans[-1], start + one.length)
-                        else:
-                            spans += (start, start + one.length)
-                        items.update(ids)
-                found.append({"n_words": len(words), "spans": spans, "items": sorted(items)})
-            return pa.array(found, type=_FOUND)
-
+        find = _finder(spark.sparkContext.broadcast(compile_items(block, window)))
         state = state.withColumn("_found", find(F.col("text"), F.col("_found")))
         done += 1
         if done < count:
