@@ -2,6 +2,65 @@
 
 from __future__ import annotations
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP5 = f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+item AS (SELECT item_id, {_WORDS} AS words FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item_id, words, least(13, len(words)) AS k FROM item WHERE len(words) > 0),
+win AS (
+  SELECT DISTINCT item_id, k, list_slice(words, i, i + k - 1) AS win
+  FROM (SELECT item_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM sized)
+),
+place AS (
+  SELECT doc_id, k, i, list_slice(words, i, i + k - 1) AS win
+  FROM (
+    SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS i
+    FROM doc, (SELECT DISTINCT k FROM sized) WHERE len(words) >= k
+  )
+),
+found AS (SELECT doc_id, k, i, item_id FROM place JOIN win USING (k, win)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id
+),
+ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(s.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s.items, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.words) AS contaminated
+FROM doc d LEFT JOIN hit h USING (doc_id) LEFT JOIN ids s USING (doc_id)
+"""
+
+_BITS = "CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR)"
+
+OP9 = f"""
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS html, {_BITS} AS bits,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS holder
+  FROM pages
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(
+    list_transform(
+      range(0, 32),
+      lambda i: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + list_sum(list_transform(range(1, 6), lambda j: CAST(substr(bits, 5 * i + j, 1) AS INTEGER) * (32 >> j))) AS BIGINT),
+        1
+      )
+    ),
+    'string_agg', ''
+  ) AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to,
+  TRUE AS intact
+FROM page
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": OP5, "op9_warc": OP9}
