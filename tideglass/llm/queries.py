@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideglass.llm import byte_bpe, decontaminate, secrets, token_files, warc
+from tideglass.llm import byte_bpe, decontaminate, jaccard, secrets, token_files, warc
 from tideglass.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -35,5 +39,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_byte_bpe, op5_decontamination, op7_token_files, op9_warc, op10_secret_scan)
+    named = (op1_byte_bpe, op5_decontamination, op6_jaccard_join, op7_token_files, op9_warc, op10_secret_scan)
     return {query.__name__: query for query in named}
