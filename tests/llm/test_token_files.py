@@ -25,6 +25,14 @@ def test_words_encode_as_whole_texts(library, texts):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_take_the_short_way(library):
+    words = tf.word_ids(PATH)
+    assert words.short
+    for word in ("Thnble.", "ÄPFEL?!", "straße", "don't", "a1", ".", "..x", "x.y.", "É", "ÿ", "İ", "<|endoftext|>.", "é", "Ωmega"):
+        whole = library.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(words[word], dtype="<u4").tolist() == whole
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 6000), st.integers(1, 300), st.integers(0, 2**32 - 1))
 def test_coder_round_trip_and_slices(n, kinds, seed):

@@ -18,9 +18,11 @@ other columns are ignored; an empty table gives files without blocks and no rows
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -37,7 +39,7 @@ BLOCK_IDS = 1 << 18
 LANES = 1024
 CHECKPOINT_STEPS = 128
 BLOCKS_PER_FILE = 128
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 400_000
 
 SCALE_BITS = 20
 _LOW = 1 << 31  # states live in [2^31, 2^63) and give or take 32 bits at a time
@@ -47,15 +49,74 @@ _HEADER = struct.Struct("<4sIQQQQIIIIII")
 
 # Tokenizing.
 
+#: Words of letters whose lower case and byte spelling need no Unicode tables: ASCII, Latin-1.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_TAIL = ".,!?;:"
+_PROBES = ("a", "Word", "ÉTÉ", "straße", "ñandú", "ÿ", "Þing", "supercalifragilistic", "l", "ÄÖÜäöü")
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins of byte-level tokenizers: printable Latin-1 stays, the rest moves up."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
+
+
+class WordIds(dict):
+    """Ids of words as bytes, encoded by the library on first sight.
+
+    A word of plain letters goes straight to the library's merge model, lower-cased and in
+    byte letters as its pipeline would hand it on; punctuation at its end is a piece of its
+    own. Every other word goes through the whole pipeline. Whether the short way holds for
+    this tokenizer is tried out on probes when it is loaded.
+    """
+
+    def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.older: dict[str, bytes] = {}
+        probes = [p + t for p in _PROBES for t in ("", ".", "?!")]
+        self.short = True
+        self.short = all(self._short(p) == self._whole(p) for p in probes)
+        self.clear()
+
+    def _whole(self, word: str) -> bytes:
+        (coded,) = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)
+        return array("I", coded.ids).tobytes()
+
+    def _short(self, word: str) -> bytes | None:
+        core = word.rstrip(_TAIL)
+        if not _LETTERS.fullmatch(core):
+            return None
+        lowered = core.lower()
+        if lowered != word:
+            return self[lowered] + self[word[len(core) :]] if len(core) < len(word) else self[lowered]
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.merge(word)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        coded = self.older.get(word)
+        if coded is None:
+            coded = (self.short and self._short(word)) or self._whole(word)
+        if len(word) <= 64:
+            if len(self) >= _CACHE_WORDS:
+                # The words of late live on in the older half.
+                self.older = dict(self)
+                self.clear()
+            self[word] = coded
+        return coded
 
-    return Tokenizer.from_file(path), {}
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
@@ -64,16 +125,10 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     No token of this kind of tokenizer spans white space, and white space gives none, so
     texts are cut at spaces and line feeds and each distinct word is encoded once.
     """
-    tokenizer, cache = _tokenizer(path)
-    split = [text.replace("\n", " ").split(" ") for text in texts]
-    missing = list({w for words in split for w in words if w not in cache})
-    if len(cache) + len(missing) > _CACHE_WORDS:
-        cache.clear()
-        missing = list({w for words in split for w in words})
-    for word, coded in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-        cache[word] = np.array(coded.ids, dtype="<u4").tobytes()
-    get = cache.__getitem__
-    return [np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in split]
+    get = word_ids(path).__getitem__
+    return [
+        np.frombuffer(b"".join(map(get, text.replace("\n", " ").split(" "))), dtype="<u4") for text in texts
+    ]
 
 
 # The coder.
