@@ -13,9 +13,9 @@ class, known by a hash of the set, so copies cost one row each from then on. The
    matches k it asks for: a prefix longer by k-1 tokens admits only candidates that share
    min(k, their k) prefix tokens. It takes the k of least estimated cost: the postings
    read plus the candidates expected.
-4. *Stars, then the rest.* Per token the member with the fewest tokens of its own is the
-   hub; each class verifies its best hub first. Linked classes form components. What is
-   left are pairs across components that share enough prefix tokens and whose bounds allow
+4. *Stars, then the rest.* Per token the member with the fewest tokens of its own, and one
+   of two components, are hubs; in rounds, each class verifies its best hubs outside its
+   component, and linked classes form components. What is left are pairs across components that share enough prefix tokens and whose bounds allow
    a link: all of these are verified. So no link between components is lost, and a family
    of near copies costs about one pair a member, not all its pairs.
 
@@ -45,6 +45,8 @@ from tideglass.session import materialise
 SIZE = 5
 PERCENT = 80
 MOST_MATCHES = 6
+#: Rounds of stars at most; they save work and decide nothing.
+STAR_ROUNDS = 6
 _VERIFY_COST = 50  # one verified candidate, in postings
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -216,23 +218,29 @@ def _prefix_rows(shared: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                n, pairs = row["n"], sorted((p["df"], p["token"]) for p in row["pairs"])
-                common = len(pairs)
+            lists = batch.column("pairs")
+            flat = lists.flatten()
+            dfs, tokens = flat.field("df").to_numpy(), flat.field("token").to_numpy()
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            out = []
+            for node, n, end, common in zip(
+                batch.column("node").to_pylist(), batch.column("n").to_pylist(), ends, lists.value_lengths().to_pylist()
+            ):
                 # Tokens of its own come first in the order and match no one.
                 first = n - least_overlap(n, percent) - (n - common)
                 if first < 0:
                     continue
-                df = np.cumsum([p[0] for p in pairs])
+                df, own = dfs[end - common : end], tokens[end - common : end]
+                order = np.lexsort((own, df))
+                read = np.cumsum(df[order])
                 most = max(1, min(MOST_MATCHES, common - first, least_overlap(n, percent)))
-                costs = []
-                for k in range(1, most + 1):
-                    read = df[min(first + k, common) - 1]
-                    costs.append(read + _VERIFY_COST * read / k**2)
-                k = int(np.argmin(costs)) + 1
-                tokens = [t for _, t in pairs[: first + k]]
-                size = len(tokens)
-                yield rows_batch(schema, [tokens, [row["node"]] * size, [n] * size, [common] * size, [k] * size])
+                k = np.arange(1, most + 1)
+                postings = read[np.minimum(first + k, common) - 1]
+                best = int(np.argmin(postings + _VERIFY_COST * postings / k**2)) + 1
+                taken = own[order[: first + best]]
+                out.append((taken, *(np.full(len(taken), x) for x in (node, n, common, best))))
+            if out:
+                yield rows_batch(schema, [np.concatenate(c) for c in zip(*out)])
 
     lists = shared.groupBy("node").agg(
         F.first("n").alias("n"), F.collect_list(F.struct("df", "token")).alias("pairs")
@@ -287,9 +295,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs across components that share enough prefix tokens and may link."""
-    placed = materialise(
-        postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    )
+    placed = materialise(_labelled(postings, labels))
     # Only tokens that more than one component has, and members that fit someone there.
     spread = placed.groupBy("token").agg(
         F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("n").alias("_least")
@@ -310,15 +316,62 @@ def _candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFra
 
 
 def _stars(postings: DataFrame, percent: int) -> DataFrame:
-    """For each node its best hub: the least changed member of the most of its postings."""
+    """For each node its best hubs in other components, by matches and by rare matches.
+
+    A token offers three hubs: its least changed member and one member of each of its lowest
+    and highest component, so any member meets another component if the token has one.
+    """
+    ratio = F.col("common") / F.col("n")
+    member = F.struct("node", "n", "common", "label")
     hubs = postings.groupBy("token").agg(
-        F.max_by(F.struct("node", "n", "common"), F.struct(F.col("common") / F.col("n"), F.col("node"))).alias("h")
-    ).select("token", F.col("h.node").alias("y"), F.col("h.n").alias("m"), F.col("h.common").alias("other"))
-    met = postings.join(hubs, "token").where(F.col("node") != F.col("y"))
-    fits = (F.least("common", "other") * (100 + percent) >= percent * (F.col("n") + F.col("m")))
-    counted = met.where(fits).groupBy("node", "y").agg(F.count(F.lit(1)).alias("met"))
-    best = counted.groupBy("node").agg(F.max_by("y", F.struct("met", "y")).alias("y"))
-    return best.select(F.col("node").alias("x"), "y")
+        F.count(F.lit(1)).alias("df"),
+        F.array(
+            F.max_by(member, F.struct(ratio, F.col("node"))),
+            F.min_by(member, F.struct(F.col("label"), -ratio, F.col("node"))),
+            F.max_by(member, F.struct(F.col("label"), ratio, F.col("node"))),
+        ).alias("hubs"),
+    ).where("hubs[1].label <> hubs[2].label")
+    offered = postings.join(hubs, "token").select(
+        "node", "n", "common", "label", "df", F.explode(F.array_distinct("hubs")).alias("h")
+    )
+    fits = (F.least("common", "h.common") * (100 + percent) >= percent * (F.col("n") + F.col("h.n"))) & (
+        F.col("label") != F.col("h.label")
+    )
+    met = offered.where(fits).groupBy("node", F.col("h.node").alias("y")).agg(
+        F.count(F.lit(1)).alias("met"), F.sum(1 / F.col("df")).alias("rare")
+    )
+    best = met.groupBy("node").agg(
+        F.array(F.max_by("y", F.struct("met", "y")), F.max_by("y", F.struct("rare", "y"))).alias("ys")
+    )
+    return best.select(F.col("node").alias("x"), F.explode(F.array_distinct("ys")).alias("y"))
+
+
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return postings.withColumn("label", F.col("node"))
+    return postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _collapse(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of rounds of stars, and the components they form.
+
+    Ends with the first round that finds few new links: what is left is for the exact step.
+    """
+    links, labels, tested = None, None, None
+    for _ in range(STAR_ROUNDS):
+        pairs = _stars(_labelled(postings, labels), percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["x", "y"], "left_anti")
+        pairs = materialise(pairs)
+        new = materialise(_verified(pairs, sets, percent))
+        found = new.count()
+        links = new if links is None else links.union(new)
+        tested = pairs if tested is None else tested.union(pairs)
+        if found or labels is None:
+            labels = components(links)
+        if found * 100 <= pairs.count():
+            break
+    return links, labels
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -367,8 +420,7 @@ def similar_classes(docs: DataFrame, members: DataFrame, size: int, percent: int
     shared = tokens.join(frequency, "token")
     postings = materialise(_prefix_rows(shared, percent))
 
-    links = materialise(_verified(materialise(_stars(postings, percent)), sets, percent))
-    labels = components(links)
+    links, labels = _collapse(postings, sets, percent)
     more = materialise(_candidates(postings, labels, percent))
     links = links.union(_verified(more, sets, percent))
     return components(links)
