@@ -37,15 +37,15 @@ from tideglass.llm.common import rows_batch, ship
 from tideglass.session import materialise
 
 NEIGHBOURS = 20
-PROJECTIONS = 40
-THRESHOLD = 0.6
-SHARE = 0.25
+PROJECTIONS = 64
+THRESHOLD = 0.84
+SHARE = 0.15
 LEAST = 2048
 SHARD_ROWS = 8192
 QUERY_BLOCK = 8192
 SEED = 5
 #: First half width of a window, in standard deviations of a projection, and its growth.
-WIDTH, GROWTH = 0.2, 1.5
+WIDTH, GROWTH = 1.8, 1.1
 
 _ARROW = pa.schema(
     [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
@@ -73,52 +73,60 @@ class Shard:
     """Sorted projections of a bounded set of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float) -> None:
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.norm = ids, vectors, norm
+        self.rough = vectors.astype(np.float32)
         rest = np.sqrt(np.maximum(0, norm**2 - (vectors**2).sum(axis=1)))
         values = (np.column_stack([vectors, rest]) / norm) @ directions(vectors.shape[1] + 1)
         self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
         self.values = np.take_along_axis(values.T, self.order, axis=1)
+        self.enough = min(len(ids), max(LEAST, math.ceil(SHARE * len(ids))))
 
-    def candidates(self, projected: np.ndarray) -> np.ndarray:
+    def windows(self, projected: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of each query's window in each sorted array."""
+        low = [np.searchsorted(v, p - width) for v, p in zip(self.values, projected.T)]
+        high = [np.searchsorted(v, p + width) for v, p in zip(self.values, projected.T)]
+        return np.array(low).T, np.array(high).T
+
+    def candidates(self, projected: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Positions of the vectors that collide often enough with a projected query."""
         n, count = len(self.ids), len(self.order)
-        enough = min(n, max(LEAST, math.ceil(SHARE * n)))
-        if enough == n:
-            return np.arange(n)
-        needed = math.ceil(THRESHOLD * count)
-        hits = np.zeros(n, dtype=np.uint8)
-        low = np.array([np.searchsorted(v, x) for v, x in zip(self.values, projected)])
-        high = low.copy()
-        width = WIDTH
+        # The first window is wide, so it is quicker to count who is not in it.
+        hits = np.full(n, count, dtype=np.uint8)
+        for order, a, b in zip(self.order, low.tolist(), high.tolist()):
+            hits[order[:a]] -= 1
+            hits[order[b:]] -= 1
+        needed, width = math.ceil(THRESHOLD * count), WIDTH
         while True:
-            for j in range(count):
-                values, order = self.values[j], self.order[j]
-                a, b = np.searchsorted(values, (projected[j] - width, projected[j] + width))
-                if a < low[j]:
-                    hits[order[a : low[j]]] += 1
-                    low[j] = a
-                if b > high[j]:
-                    hits[order[high[j] : b]] += 1
-                    high[j] = b
             found = np.flatnonzero(hits >= needed)
-            if len(found) >= enough:
+            if len(found) >= self.enough:
                 return found
             width *= GROWTH
-
-    def search(self, query_id: int, vector: np.ndarray, projected: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k candidates other than the query itself."""
-        near = self.candidates(projected)
-        # A sum per row, so equal vectors get equal scores wherever they stand.
-        scores = (self.vectors[near] * vector).sum(axis=1)
-        ids = self.ids[near]
-        other = ids != query_id
-        ids, scores = ids[other], scores[other]
-        if len(ids) > 4 * k:
-            bound = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = scores >= bound
-            ids, scores = ids[keep], scores[keep]
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+            (lower,), (higher,) = self.windows(projected[None], width)
+            for order, a, b, c, d in zip(self.order, lower, low, high, higher):
+                hits[order[a:b]] += 1
+                hits[order[c:d]] += 1
+            low, high = lower, higher
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, projected: np.ndarray, k: int):
+        """For each query the ids and scores of its best k candidates other than itself."""
+        whole = self.enough == len(self.ids)
+        low, high = (None, None) if whole else self.windows(projected, WIDTH)
+        for i, (query_id, vector) in enumerate(zip(query_ids.tolist(), queries)):
+            near = None if whole else self.candidates(projected[i], low[i], high[i])
+            # Single precision settles all but a few; its error is far below the slack.
+            rough = (self.rough if whole else self.rough[near]) @ vector.astype(np.float32)
+            if len(rough) > 4 * k:
+                slack = 1e-4 * self.norm * float(np.sqrt(vector @ vector))
+                best = np.flatnonzero(rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - slack)
+                near = best if whole else near[best]
+            elif whole:
+                near = np.arange(len(rough))
+            # A sum per row, so equal vectors get equal scores wherever they stand.
+            scores, ids = (self.vectors[near] * vector).sum(axis=1), self.ids[near]
+            other = ids != query_id
+            ids, scores = ids[other], scores[other]
+            best = np.lexsort((ids, -scores))[:k]
+            yield ids[best], scores[best]
 
 
 def _search_block(shards: DataFrame, queries: list, norm: float, k: int) -> DataFrame:
@@ -142,8 +150,7 @@ def _search_block(shards: DataFrame, queries: list, norm: float, k: int) -> Data
         for part in np.array_split(np.arange(len(own)), max(1, math.ceil(len(own) / (2 * SHARD_ROWS)))):
             shard = Shard(own[part], rows[part], norm)
             out_q, out_v, out_s = [], [], []
-            for i in range(len(query_ids)):
-                found, scores = shard.search(query_ids[i], query_rows[i], projected[i], k)
+            for i, (found, scores) in enumerate(shard.search(query_ids, query_rows, projected, k)):
                 out_q.append(np.full(len(found), query_ids[i]))
                 out_v.append(found)
                 out_s.append(scores)
