@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import chunks, id_and_text, rows_batch, ship
+from tideglass.llm.hashing import BASE, BYTE_CODES, mix, power_tables
 from tideglass.operators.lookup import BROADCAST_BYTES, lookup_join
 from tideglass.session import materialise
 
@@ -50,40 +51,15 @@ STAR_ROUNDS = 6
 _VERIFY_COST = 50  # one verified candidate, in postings
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a public 64-bit generator: spreads every bit over all others."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE_CODES = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE) | np.uint64(1)
-_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        ones = np.ones(n, dtype=np.uint64)
-        up, down = ones.copy(), ones.copy()
-        up[1:], down[1:] = _BASE, _UNBASE
-        _powers = (np.cumprod(up), np.cumprod(down))
-    return _powers
-
-
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word of ASCII-lower-cased bytes."""
     points = np.frombuffer(data, dtype=np.uint8)
     solid = (points != 32) & ((points < 9) | (points > 13))
     edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power_tables(len(points) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[points] * up[: len(points)])])
-    return _mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)), begin
+    up, down = power_tables(len(points) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[points] * up[: len(points)])])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)), begin
 
 
 def shingle_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
@@ -95,7 +71,7 @@ def shingle_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
     grams = np.zeros(max(0, len(words) - size + 1), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            grams = _mix(grams * _BASE + words[i : i + len(grams)])
+            grams = mix(grams * BASE + words[i : i + len(grams)])
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= size:
@@ -103,7 +79,7 @@ def shingle_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
         elif b > a:
             whole = np.array([b - a], dtype=np.uint64)
             for word in words[a:b]:
-                whole = _mix(whole * _BASE + word)
+                whole = mix(whole * BASE + word)
             out.append(whole)
         else:
             out.append(np.empty(0, dtype=np.uint64))

@@ -347,8 +347,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str) -> TokenF
     def count(batches):
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for packed in batch.column("ids"):
-                found = np.bincount(_unpacked(packed.as_py()))
+            packed = batch.column("ids").to_pylist()
+            for begin in range(0, len(packed), 512):
+                found = np.bincount(np.concatenate([_unpacked(p) for p in packed[begin : begin + 512]]))
                 if len(found) > len(counts):
                     counts = np.pad(counts, (0, len(found) - len(counts)))
                 counts[: len(found)] += found
