@@ -34,6 +34,8 @@ SAMPLE_ROWS = 4000
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 5
+#: Steps at least, so that few rows are gone over more often.
+LEAST_STEPS = 8000
 RATE = 2.0
 SEED = 11
 THRESHOLD = 0.7
@@ -151,8 +153,9 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
                 kinds, times = np.unique(buckets[at], return_counts=True)
                 bags[owner[at[0]]] = (kinds.astype(np.int32), (times / len(at)).astype(np.float32))
     empty = (np.empty(0, np.int32), np.empty(0, np.float32))
-    step, steps = 0, EPOCHS * rows
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // rows))
+    step, steps = 0, epochs * rows
+    for _ in range(epochs):
         for i in rng.permutation(rows):
             rate = RATE * (1 - step / steps)
             kinds, share = bags[i] or empty
