@@ -10,7 +10,7 @@ from conftest import arrivals_of, at, event, window
 from tideglass.operators import dimension as dim
 from tideglass.schemas import WINDOW, WINDOW_STATE
 from tideglass.session import materialise
-from tideglass.store import TimelineStore
+from tideglass.store import SourceBatch, TimelineStore
 
 
 def random_events(seed, n=120):
@@ -109,19 +109,20 @@ def test_fold_does_not_depend_on_cut_or_order(spark):
 def test_a_committed_batch_is_not_applied_twice(spark, tmp_path):
     store = TimelineStore(spark, str(tmp_path))
     rows = arrivals_of(spark, [event("a", window()), event("b", window())])
-    store.ingest(rows, "feed", 0)
-    s = store.ingest(rows, "feed", 0)
+    batch = SourceBatch("feed", "s1", 0)
+    store.ingest(rows, batch)
+    s = store.ingest(rows, batch)
     assert (s.version, s.events.count(), s.windows.first()["event_count"]) == (1, 2, 2)
 
 
 def test_an_unfinished_version_is_invisible_and_overwritten(spark, tmp_path):
     store = TimelineStore(spark, str(tmp_path))
-    s = store.ingest(arrivals_of(spark, [event("a", window())]), "feed", 0)
+    s = store.ingest(arrivals_of(spark, [event("a", window())]), SourceBatch("feed", "s1", 0))
     # A writer that died after its files and before its commit.
     s.log.drop("version").write.partitionBy("occurred_date").parquet(f"{tmp_path}/events/version=2")
     s = store.snapshot()
     assert s.events.count() == 1
-    s = store.ingest(arrivals_of(spark, [event("b", window(x=9.0))], first_id=2), "feed", 1)
+    s = store.ingest(arrivals_of(spark, [event("b", window(x=9.0))], first_id=2), SourceBatch("feed", "s1", 1))
     assert [r["event_value"] for r in s.events.orderBy("event_id").collect()] == ["a", "b"]
     assert s.windows.first()["x"] == 9.0
 
@@ -139,3 +140,52 @@ def test_advance_from_nothing(spark):
     partials = materialise(dim.identity_partials(arrivals_of(spark, [event("a")])))
     following, pairs = dim.advance_dimension(current, partials, 0)
     assert following.isEmpty() and pairs.isEmpty()
+
+
+def test_parts_fold_to_the_whole_dimension_and_compact(spark, tmp_path):
+    events = random_events(7)
+    store = TimelineStore(spark, str(tmp_path))
+    for low in range(0, len(events), 9):
+        s = store.ingest(arrivals_of(spark, events[low : low + 9], first_id=low + 1))
+    wanted, _ = simulate(events)
+    assert as_set(s.window_state.collect()) == as_set(wanted)
+    after = store.compact()
+    assert as_set(after.window_state.collect()) == as_set(wanted)
+    assert [p.name for p in (tmp_path / "windows").glob("version=*")] == [f"version={after.version}"]
+    assert store.compact().version == after.version
+    more = [*events, *events[:5]]
+    s = store.ingest(arrivals_of(spark, events[:5], first_id=len(events) + 1))
+    assert as_set(s.window_state.collect()) == as_set(simulate(more)[0])
+
+
+def test_ids_are_issued_and_enforced(spark, tmp_path):
+    store = TimelineStore(spark, str(tmp_path / "a"))
+    rows = arrivals_of(spark, [event(v, window()) for v in "cab"]).withColumnRenamed("event_id", "n")
+    s = store.ingest(rows, order_by=["value"])
+    assert [(r["event_id"], r["event_value"]) for r in s.events.orderBy("event_id").collect()] == [(1, "a"), (2, "b"), (3, "c")]
+    s = store.ingest(rows.limit(1), order_by=["n"])
+    assert s.last_event_id == 4
+    with pytest.raises(ValueError, match="order_by"):
+        store.ingest(rows.drop("n"))
+
+    store = TimelineStore(spark, str(tmp_path / "b"))
+    store.ingest(arrivals_of(spark, [event("a"), event("b", kind="odd")]))
+    twice = arrivals_of(spark, [event("x")], first_id=1).union(arrivals_of(spark, [event("y"), event("z")], first_id=2))
+    s = store.ingest(twice.union(arrivals_of(spark, [event("w")], first_id=3)))
+    kept = s.events.groupBy("event_id").count().collect()
+    assert sorted(tuple(r) for r in kept) == [(1, 1), (2, 1), (3, 1)] and s.event(1).count() == 1
+    reasons = sorted((r["event_id"], r["reason"]) for r in store.quarantine().collect())
+    assert reasons == [(1, "duplicate:event_id"), (2, "unknown_kind"), (3, "duplicate:event_id")]
+
+
+def test_an_ingest_leaves_no_scratch(spark, tmp_path):
+    from pathlib import Path
+
+    from tideglass.session import scratch_folder
+
+    store = TimelineStore(spark, str(tmp_path))
+    tables = Path(scratch_folder(spark).removeprefix("file:")) / "tables"
+    before = set(tables.glob("*")) if tables.exists() else set()
+    store.ingest(arrivals_of(spark, [event("a", window()), event("b")]))
+    store.ingest(arrivals_of(spark, [event("c", window("t2"))], first_id=3))
+    assert set(tables.glob("*")) <= before

@@ -4,6 +4,8 @@ import json
 import os
 
 import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from conftest import event, window
 from tideglass.sources.lines import (
@@ -17,7 +19,7 @@ from tideglass.sources.lines import (
 )
 from tideglass.store import TimelineStore
 from tideglass.streaming.pipeline import stream_lines
-from tideglass.streaming.running import stream_dimension, stream_summary
+from tideglass.streaming.running import running_result, stream_dimension, stream_summary
 
 GOOD = {
     "occurred_at": "2026-04-18T00:00:00Z", "kind": "key_press", "value": "KeyA",
@@ -185,9 +187,43 @@ def test_stream_equals_batch(spark, tmp_path, feed):
     assert plain_rows(s.windows) == plain_rows(once.windows)
     assert store.quarantine().count() == 8
 
-    # A lost checkpoint replays the files; the commits keep them from counting twice.
+    # A lost checkpoint replays the files, and a new one with them: each line counts once.
+    text = "@e" + json.dumps({**GOOD, "value": "late"})
+    write_feed(feed, "part9.txt", [text, text], 1_000_009)
     stream_lines(store, lines, str(tmp_path / "again"), "feed", "@e").awaitTermination()
-    assert store.snapshot().version == 3
+    s = store.snapshot()
+    assert s.events.count() == once.events.count() + 2 and store.quarantine().count() == 8
+    assert s.events.where("event_value = 'late'").count() == 2
+    assert s.events.select("event_id").distinct().count() == s.events.count()
+
+    # One name for a second feed keeps both.
+    other = tmp_path / "other"
+    other.mkdir()
+    write_feed(other, "part0.txt", [text], 1_000_000)
+    second = read_lines(spark, str(other), streaming=True)
+    stream_lines(store, second, str(tmp_path / "second"), "feed", "@e").awaitTermination()
+    assert store.snapshot().events.where("event_value = 'late'").count() == 3
+
+    # Without file columns nobody can tell: no quiet return.
+    bare = lines.select("value", F.lit(0).alias("partition"), F.lit(1).alias("offset"))
+    started = stream_lines(store, bare, str(tmp_path / "bare"), "feed", "@e", order_by=["partition", "offset"])
+    with pytest.raises(StreamingQueryException, match="read before"):
+        started.awaitTermination()
+
+
+def test_lines_of_other_sources_are_numbered_by_their_columns(spark):
+    rows = [(f"v{p}{o}", p, o) for o in (2, 0, 1) for p in (1, 0)]
+    lines = event_lines(spark.createDataFrame(rows, "value string, partition int, offset int"))
+    found = number_lines(lines.repartition(3), 5, ["partition", "offset"]).orderBy("event_id").collect()
+    assert [(r["event_id"], r["payload"]) for r in found] == [(6 + i, t) for i, t in enumerate(["v00", "v01", "v02", "v10", "v11", "v12"])]
+    with pytest.raises(ValueError, match="name the columns"):
+        number_lines(lines)
+
+
+def test_torn_splits_are_refused(spark, tmp_path):
+    write_feed(tmp_path, "a.txt", [f"line {i}" for i in range(500)], 1000)
+    with pytest.raises(ValueError, match="dealt anew"):
+        number_lines(event_lines(read_lines(spark, str(tmp_path))).repartition(4))
 
 
 def test_running_results_equal_batch(spark, tmp_path, feed):
@@ -209,10 +245,10 @@ def test_running_results_equal_batch(spark, tmp_path, feed):
         spark.readStream.schema(payloads.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     )
     stream_dimension(stream, str(tmp_path / "d"), str(tmp_path / "dc")).awaitTermination()
-    kept = spark.read.parquet(str(tmp_path / "d"))
+    kept = running_result(spark, str(tmp_path / "d"))
     assert plain_rows(kept.select(s.windows.columns)) == plain_rows(s.windows)
     stream_summary(stream, str(tmp_path / "s"), str(tmp_path / "sc")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "s")).collect() == s.summary().collect()
+    assert running_result(spark, str(tmp_path / "s")).collect() == s.summary().collect()
 
 
 def test_wire_round_trip(spark, tmp_path):

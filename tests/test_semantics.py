@@ -51,10 +51,17 @@ def test_rounding_goes_up_on_halves(spark):
 
 
 def test_number_text(spark):
-    df = column(spark, [-1.0, 0.0, -0.0, 0.25, 12345678.5, 0.0001, 1e-7, -2.5, 1e17], "double")
-    assert results(df, number_text(F.col("v"))) == [
-        "-1", "0", "0", "0.25", "12345678.5", "0.0001", "1e-7", "-2.5", "100000000000000000",
-    ]
+    wanted = {
+        -1.0: "-1", 0.0: "0", 0.25: "0.25", 12345678.5: "12345678.5", 0.0001: "0.0001", 1e-7: "1e-7",
+        -2.5: "-2.5", 1e17: "100000000000000000", 0.012345678901234568: "0.012345678901234568",
+        0.00012345678901234567: "0.00012345678901234567", 123456789012345680000.0: "123456789012345680000",
+        1e20: "100000000000000000000", 1e21: "1e+21", -1e22: "-1e+22", 1.5e300: "1.5e+300", 5e-324: "5e-324",
+        1e-6: "0.000001", 2e-3: "0.002", 2.0e23: "2e+23", 1.7976931348623157e308: "1.7976931348623157e+308",
+        0.1 + 0.2: "0.30000000000000004", 9007199254740993.0: "9007199254740992", float("inf"): "Infinity",
+        float("-inf"): "-Infinity", 4.35: "4.35", 2.2250738585072014e-308: "2.2250738585072014e-308",
+    }
+    df = column(spark, [*wanted, -0.0, float("nan"), None], "double")
+    assert results(df, number_text(F.col("v"))) == [*wanted.values(), "0", "NaN", None]
 
 
 def test_trim_takes_unicode_space(spark):

@@ -80,27 +80,32 @@ def build_dimension(arrivals: DataFrame) -> DataFrame:
     return number_windows(fold(identity_partials(arrivals)))
 
 
+def dimension_part(known: DataFrame, partials: DataFrame, after: int) -> DataFrame:
+    """What a batch adds to a dimension: its own windows, known ones under their ids.
+
+    `known` are the (context_hash, window_id) pairs so far and `after` is the highest id
+    given. The join works on one row per hash; the dimension's other columns are not read.
+    """
+    batch = fold(partials)
+    if after == 0:
+        # No window has been numbered yet: all of the batch's windows are new.
+        return number_windows(batch)
+    batch = materialise(batch.join(known, "context_hash", "left"))
+    fresh = number_windows(batch.where(F.col("window_id").isNull()).drop("window_id"), after)
+    return shape(batch.where(F.col("window_id").isNotNull())).unionByName(fresh)
+
+
 def advance_dimension(
     current: DataFrame, partials: DataFrame, after: int
 ) -> tuple[DataFrame, DataFrame]:
     """Fold a batch's identity partials into the current dimension.
 
     `after` is the highest id given so far. Returns the next dimension and the batch's
-    (context_hash, window_id) pairs. Both joins work on one row per hash.
+    (context_hash, window_id) pairs.
     """
-    batch = fold(partials)
-    if after == 0:
-        # No window has been numbered yet: all of the batch's windows are new.
-        fresh = number_windows(batch)
-        return fresh, fresh.select("context_hash", "window_id")
-    batch = materialise(
-        batch.join(current.select("context_hash", "window_id"), "context_hash", "left")
-    )
-    fresh = number_windows(batch.where(F.col("window_id").isNull()).drop("window_id"), after)
-    known = shape(batch.where(F.col("window_id").isNotNull()))
-    following = shape(fold(current.unionByName(known).unionByName(fresh)))
-    pairs = known.unionByName(fresh).select("context_hash", "window_id")
-    return following, pairs
+    part = dimension_part(current.select("context_hash", "window_id"), partials, after)
+    following = part if after == 0 else shape(fold(current.unionByName(part)))
+    return following, part.select("context_hash", "window_id")
 
 
 def assign_windows(arrivals: DataFrame, partials: DataFrame, pairs: DataFrame) -> DataFrame:

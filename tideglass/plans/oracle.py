@@ -6,6 +6,7 @@ from tideglass.plans.queries import (
     EVENT_COLUMNS,
     EVENT_ID,
     EVENT_SORT_CURSOR,
+    SCALES,
     SORT_SIZE,
     USER,
     WINDOW_ID,
@@ -252,6 +253,44 @@ _DAMAGED = f"""{_WITH_LOG},
     )"""
 
 
+def _number_text(value: str) -> str:
+    """SQL for a double's text: plain from 1e-6 up to 1e21, else with an exponent."""
+    return f"""(
+    SELECT CASE WHEN v = 0 THEN '0' ELSE CASE WHEN v < 0 THEN '-' ELSE '' END ||
+        CASE WHEN point > 21 OR point < -5 THEN
+                left(digits, 1) || CASE WHEN length(digits) > 1 THEN '.' || substr(digits, 2) ELSE '' END
+                || CASE WHEN point < 1 THEN 'e-' ELSE 'e+' END || CAST(abs(point - 1) AS VARCHAR)
+            WHEN point <= 0 THEN '0.' || repeat('0', -point) || digits
+            WHEN point >= length(digits) THEN digits || repeat('0', point - length(digits))
+            ELSE left(digits, point) || '.' || substr(digits, point + 1) END END
+    FROM (
+        SELECT v, rtrim(ltrim(raw, '0'), '0') AS digits,
+            CAST(length(whole) + exponent - (length(raw) - length(ltrim(raw, '0'))) AS INTEGER) AS point
+        FROM (
+            SELECT v, split_part(mantissa, '.', 1) AS whole, replace(mantissa, '.', '') AS raw, exponent
+            FROM (
+                SELECT v, split_part(t, 'e', 1) AS mantissa,
+                    CASE WHEN contains(t, 'e') THEN CAST(split_part(t, 'e', 2) AS INTEGER) ELSE 0 END AS exponent
+                FROM (SELECT v, CAST(abs(v) AS VARCHAR) AS t FROM (SELECT {value} AS v))
+            )
+        )
+    ))"""
+
+
+def _delta(shift: int) -> str:
+    factor, divisor = (
+        f"([{', '.join(f'{s[i]!r}::DOUBLE' for s in SCALES)}])[1 + (event_id + {shift}) % {len(SCALES)}]"
+        for i in (0, 1)
+    )
+    return f"CAST(floor(value * 100) AS DOUBLE) * {factor} / {divisor}"
+
+
+_FROM_LINES = f"""{_WITH_EV}
+    SELECT event_id, occurred_at, event_kind, event_value, delta_x, delta_y,
+        app_name, process_path, process_id, title, collector_name, collector_version
+    FROM ev WHERE event_id % 20 > 8"""
+
+
 def oracle_sql() -> dict[str, str]:
     dimension = f"{_WITH_DIM} SELECT {_WINDOW_COLUMNS} FROM dim"
     user_filters = f"""{_RANGE.replace(_END, "TIMESTAMP '2024-01-25 00:00:00'")}
@@ -389,6 +428,23 @@ def oracle_sql() -> dict[str, str]:
                 collector_name, collector_version
             FROM ev WHERE event_id % 20 > 8""",
         "ingest_quarantine": f"SELECT event_id, {_FAULTS} AS reason FROM events WHERE event_id % 20 < 8",
+        "lines_to_store": _FROM_LINES,
+        "lines_stream": _FROM_LINES,
+        "lines_quarantined": f"SELECT event_id, {_FAULTS} AS reason FROM events WHERE event_id % 20 < 8",
+        "ingest_without_ids": f"""{_WITH_LOG}
+            SELECT row_number() OVER (ORDER BY event_id) AS event_id, occurred_at, event_kind,
+                event_value, window_id FROM log""",
+        "ingest_duplicate_ids": """
+            SELECT event_id, 'stored' AS state, CAST(1 AS BIGINT) AS rows FROM events
+            UNION ALL
+            SELECT event_id, 'duplicate:event_id',
+                CAST((event_id % 10 = 0)::INTEGER + (event_id % 7 = 0)::INTEGER AS BIGINT)
+            FROM events WHERE event_id % 10 = 0 OR event_id % 7 = 0""",
+        "dimension_compacted": dimension,
+        "wheel_value_text": f"""
+            WITH d AS (SELECT event_id, {_delta(0)} AS x, {_delta(3)} AS y FROM events)
+            SELECT event_id, 'delta_x:' || {_number_text("x")} || ', delta_y:' || {_number_text("y")} AS shown
+            FROM d""",
         "constraint_report": f"{_CLEAN} {_report('stored', 'dim')}",
         "constraint_report_damaged": f"{_DAMAGED} {_report('stored', 'damaged')}",
         "free_sql": f"""{_WITH_LOG}

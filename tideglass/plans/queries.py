@@ -25,12 +25,13 @@ from tideglass.sources.lines import (
     decode_events,
     event_lines,
     quarantined,
+    read_lines,
     to_wire,
     valid_events,
 )
-from tideglass.store import TimelineStore
-from tideglass.streaming.pipeline import stream_payloads
-from tideglass.streaming.running import stream_dimension, stream_summary
+from tideglass.store import Snapshot, TimelineStore
+from tideglass.streaming.pipeline import stream_lines, stream_payloads
+from tideglass.streaming.running import running_result, stream_dimension, stream_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,7 @@ EVENT_ID = 42
 WINDOW_ID = 5
 USER = 7
 PREFIX = "@event "
+FEED_FILES = 4
 SORT_SIZE = 1000
 EVENT_SORT_CURSOR = 8500
 WINDOW_SORT_CURSOR = 10
@@ -156,7 +158,7 @@ def q_dimension_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream_dimension(
         _arrival_stream(spark, sf_dir), f"{folder}/result", f"{folder}/checkpoint"
     ).awaitTermination()
-    return plain(spark.read.parquet(f"{folder}/result").select(*WINDOW.names))
+    return plain(running_result(spark, f"{folder}/result").select(*WINDOW.names))
 
 
 def q_summary_running(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +166,7 @@ def q_summary_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream_summary(
         _arrival_stream(spark, sf_dir), f"{folder}/result", f"{folder}/checkpoint"
     ).awaitTermination()
-    return _summary_row(spark.read.parquet(f"{folder}/result"))
+    return _summary_row(running_result(spark, f"{folder}/result"))
 
 
 # Lookups and joins.
@@ -430,6 +432,124 @@ def q_ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select(event_id.alias("event_id"), "reason")
 
 
+# The front door: a feed of text files into a store, and events without or with odd ids.
+
+
+_line_stores: dict[tuple[str, str], TimelineStore] = {}
+
+
+def _feed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The wire lines as several text files in the shared folder."""
+    folder = f"{_stream_folder(spark)}/feed"
+    wire_lines(given_events(spark, sf_dir)).repartition(FEED_FILES).write.text(folder)
+    return folder
+
+
+def _line_store(spark: SparkSession, sf_dir: str) -> TimelineStore:
+    """A store that took the feed in one batch, built once per application and folder."""
+    key = (prepare(spark).sparkContext.applicationId, sf_dir)
+    if key not in _line_stores:
+        store = TimelineStore(spark, f"{_stream_folder(spark)}/store")
+        store.ingest_lines(read_lines(spark, _feed_folder(spark, sf_dir)), PREFIX)
+        _line_stores[key] = store
+    return _line_stores[key]
+
+
+def _events_of_lines(s: Snapshot) -> DataFrame:
+    """Stored events by the id they were written with, joined with their windows."""
+    named = s.windows.select("window_id", "app_name", "process_path", "process_id", "title")
+    joined = s.events.join(named, "window_id", "left")
+    return plain(
+        joined.select(
+            F.get_json_object("raw_event", "$.event_id").cast("bigint").alias("event_id"),
+            "occurred_at", "event_kind", "event_value", "delta_x", "delta_y",
+            "app_name", "process_path", "process_id", "title",
+            "collector_name", "collector_version",
+        )
+    )
+
+
+def q_lines_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events_of_lines(_line_store(spark, sf_dir).snapshot())
+
+
+def q_lines_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = _line_store(spark, sf_dir).quarantine()
+    event_id = F.regexp_extract("payload", r'event_id\\":(\d+)', 1).cast("bigint")
+    return bad.select(event_id.alias("event_id"), "reason")
+
+
+def q_lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as a stream whose checkpoint is lost before the last file comes."""
+    folder, feed = _stream_folder(spark), _feed_folder(spark, sf_dir)
+    store = TimelineStore(spark, f"{folder}/store")
+    first = read_lines(spark, f"{feed}/part-0000[0-2]*", streaming=True, maxFilesPerTrigger=2)
+    stream_lines(store, first, f"{folder}/lost", "feed", PREFIX).awaitTermination()
+    whole = read_lines(spark, feed, streaming=True)
+    stream_lines(store, whole, f"{folder}/checkpoint", "feed", PREFIX).awaitTermination()
+    return _events_of_lines(store.snapshot())
+
+
+def q_ingest_without_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured events carry no ids: the store gives them, over two batches."""
+    given = arrivals(given_events(spark, sf_dir)).withColumnRenamed("event_id", "sequence")
+    middle = given.agg(F.avg("sequence")).first()[0] or 0
+    store = TimelineStore(spark, f"{_stream_folder(spark)}/store")
+    store.ingest(given.where(F.col("sequence") < middle), order_by=["sequence"])
+    s = store.ingest(given.where(F.col("sequence") >= middle), order_by=["sequence"])
+    return plain(s.events.select("event_id", "occurred_at", "event_kind", "event_value", "window_id"))
+
+
+def _repeated_store(spark: SparkSession, sf_dir: str) -> TimelineStore:
+    """Every tenth event twice in one batch, every seventh once more in the next."""
+    given = arrivals(given_events(spark, sf_dir))
+    store = TimelineStore(spark, f"{_stream_folder(spark)}/store")
+    store.ingest(given.union(given.where("event_id % 10 = 0")))
+    store.ingest(given.where("event_id % 7 = 0"))
+    return store
+
+
+def q_ingest_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each id was stored and refused."""
+    store = _repeated_store(spark, sf_dir)
+    kept = store.snapshot().events.select("event_id", F.lit("stored").alias("state"))
+    refused = store.quarantine().select("event_id", F.col("reason").alias("state"))
+    return kept.union(refused).groupBy("event_id", "state").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_dimension_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches, a compaction, and one more batch."""
+    given = arrivals(given_events(spark, sf_dir))
+    first, last = given.agg(F.min("event_id"), F.max("event_id")).first()
+    store = TimelineStore(spark, f"{_stream_folder(spark)}/store")
+    step = (last - first) // 5 + 1
+    for number, low in enumerate(range(first, last + 1, step)):
+        if number == 4:
+            store.compact()
+        store.ingest(given.where(F.col("event_id").between(low, low + step - 1)))
+    return plain(store.snapshot().windows)
+
+
+#: Factor and divisor that make deltas of all sizes out of given values, correctly rounded.
+SCALES = (
+    (1.0, 1.0), (1.0, 10.0), (1.0, 1e3), (1.0, 1e8), (1e5, 1.0), (1e13, 1.0), (1e16, 1.0),
+    (1e22, 1.0), (1.0, 1e22), (-1.0, 8.0), (0.0, 1.0),
+)
+
+
+def q_wheel_value_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shown text of wheel events whose deltas are fractions, tiny, and very large."""
+    base = F.floor(F.col("value") * 100).cast("double")
+
+    def delta(shift: int) -> Column:
+        place = (F.col("event_id") + shift) % len(SCALES)
+        factor, divisor = (F.array(*[F.lit(s[i]) for s in SCALES])[place] for i in (0, 1))
+        return base * factor / divisor
+
+    text = views.shown_value(F.lit("wheel"), F.lit(""), delta(0), delta(3))
+    return given_events(spark, sf_dir).select("event_id", text.alias("shown"))
+
+
 # Constraints and free SQL.
 
 

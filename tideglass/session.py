@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +34,35 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own through the file system it is on."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised within are dropped at the end: for calls that commit their result.
+
+    Nothing lazy may leave the scope. An inner scope leaves its tables to the outer one.
+    """
+    if _scope.get() is not None:
+        yield
+        return
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            delete_folder(spark, path)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediates: the session's checkpoint folder.
 
@@ -50,6 +82,20 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shared_folder(spark: SparkSession, path: str) -> str:
+    """`path`, unless it lies on a machine's own disk while the session runs on a cluster.
+
+    A `local-cluster` master and `spark.tideglass.sharedLocalFolders=true` (a mount that all
+    machines share) may use local paths.
+    """
+    local = spark.sparkContext.master.startswith("local")
+    if not local and spark.conf.get("spark.tideglass.sharedLocalFolders", "false") != "true":
+        scheme = path.split("://")[0] if "://" in path else path.split(":/")[0]
+        if scheme == "file":
+            raise RuntimeError(f"{path} is a machine's own folder; all executors must share it")
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the shared scratch folder and read it back.
 
@@ -57,6 +103,9 @@ def materialise(df: DataFrame) -> DataFrame:
     that several readers see the same rows. Columnar, so that each reader prunes.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = shared_folder(spark, f"{scratch_folder(spark)}/tables/{uuid.uuid4().hex}")
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

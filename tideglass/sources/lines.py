@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +11,22 @@ from tideglass.functions.rawjson import tagged_json, tagged_value
 from tideglass.functions.text import trim_text
 from tideglass.functions.times import instant_text, parse_instant
 from tideglass.operators.lookup import lookup_join
+from tideglass.operators.numbering import number_rows
 from tideglass.schemas import EVENT_KINDS, PAYLOAD, PROCESS_ID, WINDOW_SNAPSHOT
 from tideglass.session import materialise
 
 MAX_PROCESS_ID = 2**64 - 1
 
-_SPLIT = ("file_time", "file_path", "file_start")
+#: The order of arrival of lines of files; other sources name their own columns.
+FILE_ORDER = ("file_time", "file_path", "file_start")
 
 
-def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def read_lines(
+    spark: SparkSession, path: str, streaming: bool = False, **options: str | int
+) -> DataFrame:
     """Text lines with the file split they came from, in batch or as a stream."""
     reader = spark.readStream if streaming else spark.read
-    return reader.format("text").load(path).select(
+    return reader.format("text").options(**options).load(path).select(
         "value",
         F.col("_metadata.file_modification_time").alias("file_time"),
         F.col("_metadata.file_path").alias("file_path"),
@@ -35,34 +41,59 @@ def event_lines(lines: DataFrame, prefix: str = "") -> DataFrame:
     return kept.withColumn("payload", F.substring("value", len(prefix) + 1, 2**31 - 1)).drop("value")
 
 
-def number_lines(lines: DataFrame, after: int = 0) -> DataFrame:
-    """Add `event_id` in arrival order: file time, file, place in the file.
+def number_lines(
+    lines: DataFrame, after: int = 0, order_by: Sequence[str] = FILE_ORDER
+) -> DataFrame:
+    """Add `event_id` in arrival order: by default file time, file, place in the file."""
+    return number_placed(materialise(place_lines(lines)), after, order_by)
+
+
+def place_lines(lines: DataFrame) -> DataFrame:
+    """Add each line's place in its task; to be landed before the places are used."""
+    return lines.withColumn("_slot", F.monotonically_increasing_id())
 
-    The lines are landed once, without a shuffle, each with its place in its task. A
-    split's lines are neighbours there, so one small row per split (its size and first
-    place) turns places into ids.
+
+def number_placed(
+    landed: DataFrame, after: int = 0, order_by: Sequence[str] = FILE_ORDER
+) -> DataFrame:
+    """Turn the places of landed lines into `event_id`s in the order of `order_by`.
+
+    Lines of files need no sort: a split's lines are neighbours in one task, so one small
+    row per split (its size and first place) turns places into ids. That they are is
+    checked. Lines of other sources are sorted by the columns given.
     """
-    landed = materialise(lines.withColumn("_slot", F.monotonically_increasing_id()))
-    splits = landed.groupBy(*_SPLIT).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_slot").alias("_first")
+    missing = [name for name in order_by if name not in landed.columns]
+    if missing:
+        raise ValueError(f"no columns {missing}: name the columns that order the lines")
+    if tuple(order_by) != FILE_ORDER:
+        keys = [F.col(name) for name in (*order_by, "_slot")]
+        return number_rows(landed, keys, "event_id", after + 1).drop("_slot")
+    splits = landed.groupBy(*FILE_ORDER).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min("_slot").alias("_first"),
+        F.max("_slot").alias("_last"),
     )
     # One row per file split: 100 TB in 128 MB splits are under a million rows.
-    earlier = Window.orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(*FILE_ORDER).rowsBetween(Window.unboundedPreceding, -1)
     shifts = materialise(
         splits.select(
             "file_path",
             "file_start",
             "_rows",
+            (F.col("_last") - F.col("_first") + 1 != F.col("_rows")).alias("_torn"),
             (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
         )
     )
+    if shifts.where("_torn").limit(1).count():
+        raise ValueError("lines of a file split were dealt anew before they were numbered")
     return (
         lookup_join(
-            landed, shifts, ["file_path", "file_start"], weight="_rows", spread="_slot", how="inner"
+            landed, shifts.drop("_torn"), ["file_path", "file_start"], weight="_rows", spread="_slot",
+            how="inner",
         )
         .withColumn("event_id", F.lit(after + 1) + F.col("_slot") + F.col("_shift"))
-        .drop("_slot", "_shift", *_SPLIT)
-    )
+        .drop("_slot", "_shift", *FILE_ORDER)
+    )
 
 
 # Members of the wire record by the type each must have.

@@ -3,13 +3,17 @@
 The state has one row per spelling of a window identity: it grows with the windows,
 not with the events. Each trigger writes the whole result anew, which suits dashboards
 over moderate dimensions; for large ones read snapshots of a stored timeline instead.
+
+Below `path`, `results/batch=N` holds a trigger's result and `published/batch=N` says that
+it is whole. Readers take the newest published one, so they see a former result while one is
+being written; the one before the newest is kept for readers under way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,13 +21,28 @@ from tideglass.functions.hashing import context_hash
 from tideglass.operators.dimension import fold, identity_partials, number_windows
 from tideglass.operators.summary import kind_counts, summarise
 from tideglass.schemas import IDENTITY, UNKNOWN_APP
+from tideglass.session import delete_folder, scratch_scope
 from tideglass.streaming.pipeline import ALL_AVAILABLE
 
 
+KEPT_RESULTS = 2
+
+
+def _published(spark: SparkSession, path: str) -> list[int]:
+    """Published batches in order; at most KEPT_RESULTS and one."""
+    marks = spark.read.schema("number bigint").json(f"{path}/published/*")
+    return sorted(row["number"] for row in marks.collect())
+
+
+def running_result(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole result of a running stream."""
+    return spark.read.parquet(f"{path}/results/batch={_published(spark, path)[-1]}")
+
+
 def stream_dimension(
     arrivals: DataFrame, path: str, checkpoint: str, trigger: dict = ALL_AVAILABLE
 ) -> StreamingQuery:
-    """Keep the whole window dimension at `path`."""
+    """Keep the whole window dimension; read it with `running_result`."""
     return _start(
         identity_partials(arrivals),
         lambda state: number_windows(fold(state)),
@@ -36,7 +55,7 @@ def stream_dimension(
 def stream_summary(
     arrivals: DataFrame, path: str, checkpoint: str, trigger: dict = ALL_AVAILABLE
 ) -> StreamingQuery:
-    """Keep the activity summary of all events so far at `path`."""
+    """Keep the activity summary of all events so far; read it with `running_result`."""
     counts = (
         arrivals.select(
             *[F.col(f"window.{name}").alias(name) for name in IDENTITY],
@@ -74,7 +93,14 @@ def _start(
     trigger: dict,
 ) -> StreamingQuery:
     def publish(batch: DataFrame, number: int) -> None:
-        finish(batch).write.mode("overwrite").parquet(path)
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            finish(batch).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+        mark = spark.range(1).select(F.lit(number).cast("bigint").alias("number"))
+        mark.coalesce(1).write.mode("overwrite").json(f"{path}/published/batch={number}")
+        for old in _published(spark, path)[:-KEPT_RESULTS]:
+            delete_folder(spark, f"{path}/published/batch={old}")
+            delete_folder(spark, f"{path}/results/batch={old}")
 
     return (
         state.writeStream.outputMode("complete")
