@@ -189,8 +189,11 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
 def _prefix_rows(shared: DataFrame, percent: int) -> DataFrame:
     """Prefix postings of each node from its shared tokens, with the matches it asks for."""
     schema = pa.schema(
-        [("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("common", pa.int64()), ("k", pa.int64())]
-    )
+        [
+            ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("common", pa.int64()),
+            ("k", pa.int64()), ("pos", pa.int64()),
+        ]
+    )
 
     def run(batches):
         for batch in batches:
@@ -214,22 +217,35 @@ def _prefix_rows(shared: DataFrame, percent: int) -> DataFrame:
                 postings = read[np.minimum(first + k, common) - 1]
                 best = int(np.argmin(postings + _VERIFY_COST * postings / k**2)) + 1
                 taken = own[order[: first + best]]
-                out.append((taken, *(np.full(len(taken), x) for x in (node, n, common, best))))
+                places = n - common + np.arange(len(taken))
+                out.append((taken, *(np.full(len(taken), x) for x in (node, n, common, best)), places))
             if out:
                 yield rows_batch(schema, [np.concatenate(c) for c in zip(*out)])
 
     lists = shared.groupBy("node").agg(
         F.first("n").alias("n"), F.collect_list(F.struct("df", "token")).alias("pairs")
     )
-    return lists.mapInArrow(run, "token bigint, node bigint, n bigint, common bigint, k bigint")
+    return lists.mapInArrow(run, "token bigint, node bigint, n bigint, common bigint, k bigint, pos bigint")
+
+
+def _least_common(n: Column, m: Column, percent: int) -> Column:
+    """Least intersection of two similar sets of n and m tokens."""
+    return F.ceil(percent * (n + m) / (100 + percent))
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and shared tokens leave room for a link between two sets."""
+    """Whether a shared token counts for a pair: sizes and shared tokens leave room for a link,
+    and the token is early enough in both. Of sets that share o tokens, the first k shared ones
+    have places below n - o + k in each."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    # overlap >= percent / (100 + percent) * (n + m), and no more than either's shared tokens
-    room = F.least(F.col(f"{a}.common"), F.col(f"{b}.common"))
-    return (room * (100 + percent) >= percent * (n + m)) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    least = _least_common(n, m, percent)
+    k = F.least(F.col(f"{a}.k"), F.col(f"{b}.k"))
+    return (
+        (F.least(F.col(f"{a}.common"), F.col(f"{b}.common")) >= least)
+        & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+        & (F.col(f"{a}.pos") < n - least + k)
+        & (F.col(f"{b}.pos") < m - least + k)
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,7 +292,10 @@ def _candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFra
     spread = placed.groupBy("token").agg(
         F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("n").alias("_least")
     ).where("_low <> _high").select("token", "_least")
-    fit = (F.col("common") * (100 + percent) >= percent * (F.col("n") + F.greatest(F.col("_least"), F.ceil(F.col("n") * percent / 100))))
+    # The smallest partner that a member can have in the token's list asks least of it.
+    smallest = F.greatest(F.col("_least"), F.ceil(F.col("n") * percent / 100))
+    asked = _least_common(F.col("n"), smallest, percent)
+    fit = (F.col("common") >= asked) & (F.col("pos") < F.col("n") - asked + F.col("k"))
     rows = materialise(placed.join(spread, "token").where(fit).drop("_least"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(
