@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tideglass.llm.licenses import LEAST_SHARE, PHRASES, RARE, TEMPLATES
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -62,5 +64,93 @@ FROM page
 """
 
 
+OP6 = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+gram AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(
+      CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END
+    ) AS g FROM doc
+  )
+),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+),
+link AS (
+  SELECT x, y FROM pair JOIN size sx ON sx.doc_id = x JOIN size sy ON sy.doc_id = y
+  WHERE 100 * c >= 80 * (sx.n + sy.n - c)
+),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM doc
+  UNION
+  SELECT r.doc_id, e.y FROM reach r JOIN edge e ON e.x = r.other
+)
+SELECT r.doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+FROM reach r LEFT JOIN size s USING (doc_id) GROUP BY r.doc_id
+"""
+
+
+def _op8() -> str:
+    templates = ", ".join(f"('{t}', string_split('{text}', ' '))" for t, (text, _) in TEMPLATES.items())
+    keys = ", ".join(f"('{t}', ' {key} ')" for t, (_, keys) in TEMPLATES.items() for key in keys)
+    phrases = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in PHRASES)
+    return f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+tmpl AS (
+  SELECT template, unnest(w) AS word, unnest(range(0, len(w))) AS place FROM (VALUES {templates}) t(template, w)
+),
+df AS (
+  SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS word FROM doc)
+  WHERE word IN (SELECT word FROM tmpl) GROUP BY word
+),
+rare AS (
+  SELECT template, word FROM (
+    SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY coalesce(df, 0), word) AS r
+    FROM (SELECT DISTINCT template, word FROM tmpl) LEFT JOIN df USING (word)
+  ) WHERE r <= {RARE}
+),
+pos AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM doc),
+vote AS (
+  SELECT doc_id, template, i - place AS begin, count(DISTINCT word) AS c
+  FROM pos JOIN tmpl USING (word) JOIN rare USING (template, word) GROUP BY ALL
+),
+share AS (SELECT doc_id, template, CAST(max(c) AS DOUBLE) / {float(RARE)}::DOUBLE AS s FROM vote GROUP BY ALL),
+missed AS (
+  SELECT doc_id, template FROM doc, (VALUES {keys}) k(template, key)
+  WHERE doc_id IN (SELECT doc_id FROM share) AND NOT contains(' ' || array_to_string(words, ' ') || ' ', key)
+),
+taken AS (
+  SELECT doc_id, template, s FROM share s WHERE s.s >= {LEAST_SHARE}
+  AND NOT EXISTS (SELECT 1 FROM missed m WHERE m.doc_id = s.doc_id AND m.template = s.template)
+),
+based AS (
+  SELECT doc_id, label, i FROM pos JOIN (VALUES {phrases}) p(label, parts) ON word = parts[1] JOIN doc USING (doc_id)
+  WHERE list_slice(words, i + 1, i + len(parts)) = parts
+),
+base AS (
+  SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last,
+    array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM based GROUP BY doc_id
+),
+each_doc AS (
+  SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
+  FROM (SELECT doc_id, label FROM based UNION ALL SELECT doc_id, template FROM taken) GROUP BY doc_id
+),
+top AS (SELECT doc_id, max(s) AS s FROM share GROUP BY doc_id),
+sure AS (SELECT doc_id, max(s) AS s FROM taken GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base,
+  CAST(b.first AS BIGINT) AS first_word, CAST(b.last AS BIGINT) AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels,
+  CASE WHEN b.n > 0 THEN 1::DOUBLE WHEN sure.s > 0 THEN sure.s ELSE coalesce(top.s, 0) / 2 END AS score
+FROM doc d LEFT JOIN base b USING (doc_id) LEFT JOIN each_doc e USING (doc_id)
+  LEFT JOIN top USING (doc_id) LEFT JOIN sure USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5, "op9_warc": OP9}
+    return {"op5_decontamination": OP5, "op6_jaccard_join": OP6, "op8_license_scan": _op8(), "op9_warc": OP9}
