@@ -285,6 +285,28 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _fewest_matches(rows: DataFrame) -> DataFrame:
+    """Choose anew, by what is left of the postings, how many matches each node asks for.
+
+    k matches admit at most postings read / k candidates. Asking for fewer than before is
+    always allowed: the prefix for fewer matches is a part of the one at hand.
+    """
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    room = F.col("n") - F.col("_asked")
+    costs = [
+        F.struct(
+            (F.sum(F.when(F.col("pos") < room + k, F.col("_df"))) * (1 + _VERIFY_COST / k)).alias("cost"),
+            F.lit(k).cast("bigint").alias("k"),
+        )
+        for k in range(1, MOST_MATCHES + 1)
+    ]
+    chosen = rows.join(lists, "token").groupBy("node").agg(F.array(*costs).alias("costs"))
+    known = F.filter("costs", lambda c: c["cost"].isNotNull())
+    chosen = chosen.select("node", F.array_min(known)["k"].alias("_k"))
+    fewer = rows.join(chosen, "node").withColumn("k", F.least("k", "_k"))
+    return materialise(fewer.where(F.col("pos") < room + F.col("k")).drop("_asked", "_k"))
+
+
 def _candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs across components that share enough prefix tokens and may link."""
     placed = materialise(_labelled(postings, labels))
@@ -296,7 +318,7 @@ def _candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFra
     smallest = F.greatest(F.col("_least"), F.ceil(F.col("n") * percent / 100))
     asked = _least_common(F.col("n"), smallest, percent)
     fit = (F.col("common") >= asked) & (F.col("pos") < F.col("n") - asked + F.col("k"))
-    rows = materialise(placed.join(spread, "token").where(fit).drop("_least"))
+    rows = _fewest_matches(materialise(placed.join(spread, "token").where(fit).withColumn("_asked", asked)))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(
         b,
