@@ -449,12 +449,16 @@ def _line_store(spark: SparkSession, sf_dir: str) -> TimelineStore:
     """A store that took the feed in one batch, built once per application and folder."""
     key = (prepare(spark).sparkContext.applicationId, sf_dir)
     if key not in _line_stores:
-        store = TimelineStore(spark, f"{_stream_folder(spark)}/store")
-        store.ingest_lines(read_lines(spark, _feed_folder(spark, sf_dir)), PREFIX)
-        _line_stores[key] = store
+        _line_stores[key] = build_line_store(spark, sf_dir)
     return _line_stores[key]
 
 
+def build_line_store(spark: SparkSession, sf_dir: str) -> TimelineStore:
+    store = TimelineStore(spark, f"{_stream_folder(spark)}/store")
+    store.ingest_lines(read_lines(spark, _feed_folder(spark, sf_dir)), PREFIX)
+    return store
+
+
 def _events_of_lines(s: Snapshot) -> DataFrame:
     """Stored events by the id they were written with, joined with their windows."""
     named = s.windows.select("window_id", "app_name", "process_path", "process_id", "title")
