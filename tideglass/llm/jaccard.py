@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import chunks, id_and_text, rows_batch, ship
@@ -415,7 +415,7 @@ def similar_classes(docs: DataFrame, members: DataFrame, size: int, percent: int
 
     rows = _pool_rows(single, size, percent)
     asked = rows.select(
-        "token", "node", "seen", F.sum(F.when(F.col("seen") >= 0, 1).otherwise(0)).over(_by("token")).alias("times")
+        "token", "node", "seen", F.sum(F.when(F.col("seen") >= 0, 1).otherwise(0)).over(Window.partitionBy("token")).alias("times")
     )
     hits = (
         asked.where("seen < 0 OR (seen = 1 AND times > 1)")
@@ -443,12 +443,6 @@ def similar_classes(docs: DataFrame, members: DataFrame, size: int, percent: int
     return components(links)
 
 
-def _by(*names: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*names)
-
-
 def report(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per document: size of its set and the smallest id of its component."""
     ship(docs.sparkSession)
