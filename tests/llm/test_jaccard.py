@@ -82,8 +82,9 @@ def family(rng, base, copies, rates):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_rows_equal_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed, limit", [(1, 4 << 20), (2, 0), (3, 4 << 20)])
+def test_rows_equal_all_pairs(spark, monkeypatch, seed, limit):
+    monkeypatch.setattr(jaccard, "SETS_BROADCAST_BYTES", limit)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(3000)]
     texts = []

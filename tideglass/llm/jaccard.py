@@ -48,6 +48,8 @@ PERCENT = 80
 MOST_MATCHES = 6
 #: Rounds of stars at most; they save work and decide nothing.
 STAR_ROUNDS = 6
+#: Sets in a broadcast at most; the driver and every executor hold it.
+SETS_BROADCAST_BYTES = 4 << 20
 _VERIFY_COST = 50  # one verified candidate, in postings
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -252,9 +254,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose sets are similar, by the exact intersection."""
     uses = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("_uses"))
     right = sets.join(uses, sets["node"] == uses["y"]).select("y", F.col("n").alias("_m"), F.col("tokens").alias("_other"), "_uses")
+    right = materialise(right)
     held = right.agg(F.sum(24 + 8 * F.col("_m"))).first()[0] or 0
-    # Light pairs meet the y sets first, salted where one y is in many pairs.
-    with_y = lookup_join(pairs.select("x", "y"), materialise(right) if held > BROADCAST_BYTES else right, ["y"], weight="_uses", spread="x", how="inner", dim_bytes=held)
+    # Light pairs meet the y sets first, salted where one y is in many pairs. Sets are bulky:
+    # all but few of them are shuffled.
+    with_y = lookup_join(
+        pairs.select("x", "y"), right, ["y"], weight="_uses", spread="x", how="inner",
+        dim_bytes=held if held <= SETS_BROADCAST_BYTES else BROADCAST_BYTES + 1,
+    )
     both = with_y.join(sets, with_y["x"] == sets["node"])
     overlap = F.size(F.array_intersect("tokens", "_other"))
     return both.where(100 * overlap >= percent * (F.col("n") + F.col("_m") - overlap)).select("x", "y")
