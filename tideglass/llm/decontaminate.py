@@ -23,7 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import id_and_text, sha256_hex, ship
@@ -40,9 +40,15 @@ _TO_WORDS = bytes(
 )
 
 _FOUND = pa.struct(
-    [("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))]
+    [
+        ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64())),
+        ("n_hit", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()),
+    ]
+)
+_FOUND_TYPE = (
+    "struct<n_words: bigint, spans: array<bigint>, items: array<bigint>, n_hit: bigint,"
+    " items_sha256: string, contaminated: boolean>"
 )
-_VERDICT = pa.struct([("n_hit", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -108,7 +114,17 @@ def _item_blocks(items: DataFrame, key: str, block_bytes: int):
         yield count, [(row.item_id, row.text.encode()) for row in block.collect()]
 
 
-_FOUND_TYPE = "struct<n_words: bigint, spans: array<bigint>, items: array<bigint>>"
+def _verdict(n_words: int, spans: list[int], items: set[int]) -> dict:
+    """Words hit, digest of the items, and whether that is too much."""
+    hit = np.zeros(n_words if spans else 0, dtype=bool)
+    for a, b in zip(spans[::2], spans[1::2]):
+        hit[a:b] = True
+    n_hit = int(hit.sum())
+    return {
+        "n_hit": n_hit,
+        "items_sha256": sha256_hex(",".join(sorted(map(str, items))).encode()),
+        "contaminated": n_hit > 0 and ONE_IN * n_hit >= n_words,
+    }
 
 
 def _finder(tables: Broadcast):
@@ -127,14 +143,14 @@ def _finder(tables: Broadcast):
                     else:
                         spans += (start, start + one.length)
                     items.update(ids)
-            found.append({"n_words": len(words), "spans": spans, "items": sorted(items)})
+            found.append({"n_words": len(words), "spans": spans, "items": sorted(items)} | _verdict(len(words), spans, items))
         return pa.array(found, type=_FOUND)
 
     return F.arrow_udf(find, _FOUND_TYPE)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with `_found`: number of words, ranges of words hit, ids of the items found."""
+    """`docs` with `_found`: number of words, ranges of words hit, ids of the items found, verdict."""
     spark = ship(docs.sparkSession)
     state, done = docs.withColumn("_found", F.lit(None).cast(_FOUND_TYPE)), 0
     for count, block in _item_blocks(benchmark, "item_id", block_bytes):
@@ -146,39 +162,18 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     return state
 
 
-def _judge(found: pa.Array) -> pa.Array:
-    rows = []
-    for one in found.to_pylist():
-        hit = np.zeros(one["n_words"] if one["spans"] else 0, dtype=bool)
-        for a, b in zip(one["spans"][::2], one["spans"][1::2]):
-            hit[a:b] = True
-        n_hit = int(hit.sum())
-        digest = sha256_hex(",".join(sorted(map(str, one["items"]))).encode())
-        bad = n_hit > 0 and ONE_IN * n_hit >= one["n_words"]
-        rows.append({"n_hit": n_hit, "items_sha256": digest, "contaminated": bad})
-    return pa.array(rows, type=_VERDICT)
-
-
-def judge(found: Column) -> Column:
-    """Words hit, digest of the items and the verdict, from what the search found."""
-    return F.arrow_udf(_judge, "struct<n_hit: bigint, items_sha256: string, contaminated: boolean>")(found)
-
-
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: words, words hit, items found, and whether it is contaminated."""
-    found = search(id_and_text(docs), benchmark, window, block_bytes)
-    judged = found.withColumn("_verdict", judge(F.col("_found")))
-    return judged.select(
+    return search(id_and_text(docs), benchmark, window, block_bytes).select(
         "doc_id",
         "_found.n_words",
-        "_verdict.n_hit",
+        "_found.n_hit",
         F.size("_found.items").cast("long").alias("n_items"),
-        "_verdict.items_sha256",
-        "_verdict.contaminated",
+        "_found.items_sha256",
+        "_found.contaminated",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    judged = search(docs, benchmark).withColumn("_verdict", judge(F.col("_found")))
-    return judged.where(~F.col("_verdict.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return search(docs, benchmark).where(~F.col("_found.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
