@@ -125,3 +125,16 @@ def test_deduplicate(spark):
     kept = jaccard.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_deduplicate_knows_rows_not_ids(spark):
+    text, other, third = (" ".join(f"{c}{i}" for i in range(50)) for c in "wuv")
+    rows = [
+        (1, text, "a"), (2, text + " x", "near 1"), (2, other, "unique"),
+        (5, third, "same"), (5, third, "same"), (None, third + " x", "same"),
+        (None, "no id has this text here", "null"), (None, "no id has this text here", "null"),
+        (7, "", "empty"), (7, "", "empty"), (None, None, "none"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = sorted(r.lang for r in jaccard.deduplicate(docs).collect())
+    assert kept == sorted(["a", "unique", "same", "null", "empty", "empty", "none"])

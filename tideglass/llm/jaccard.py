@@ -51,6 +51,7 @@ STAR_ROUNDS = 6
 #: Sets in a broadcast at most; the driver and every executor hold it.
 SETS_BROADCAST_BYTES = 4 << 20
 _VERIFY_COST = 50  # one verified candidate, in postings
+_ROW = "_tideglass_row"
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -472,7 +473,25 @@ def report(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a smaller one in their component; all columns."""
-    found = report(docs)
-    extra = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return without_ids(docs, materialise(extra)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component: of its smallest id, nulls last; of rows that tie, the first read.
+
+    A row is known by a key of its own, so neither rows that repeat an id nor rows without
+    one are taken for each other. Rows without shingles are all kept. All columns.
+    """
+    ship(docs.sparkSession)
+    keyed = materialise(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    # Rows are told apart by key, so that the search for components may know them by it too.
+    rows = id_and_text(keyed.drop("doc_id").withColumnRenamed(_ROW, "doc_id"))
+    found = report(rows).select(F.col("doc_id").alias(_ROW), F.col("component_id").alias("_component"), "n_shingles")
+    found = found.where("n_shingles > 0").drop("n_shingles")
+    ids = keyed.select(_ROW, F.col("doc_id").cast("long").alias("doc_id"))
+    # Only rows of components of two or more are told apart.
+    many = materialise(found.groupBy("_component").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1"))
+    many = many.withColumn("_many", F.lit(True))
+    met = lookup_join(found, many, ["_component"], weight="_rows", spread=_ROW).where("_many")
+    met = materialise(met.select(_ROW, "_component").join(ids, _ROW))
+    first = met.groupBy("_component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", _ROW)).alias("first")
+    )
+    extra = met.select(_ROW).join(materialise(first.select(F.col("first")[_ROW].alias(_ROW))), _ROW, "left_anti")
+    return without_ids(keyed, materialise(extra), _ROW).select(*[F.col(f"`{c}`") for c in docs.columns])
