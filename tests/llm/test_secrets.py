@@ -2,10 +2,15 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
+import lzma
+import random
 import re
+import tarfile
 import zlib
 from urllib.parse import quote
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,3 +99,44 @@ def test_rows(spark):
     assert secrets.report(docs).count() == 5 and secrets.report(docs.limit(0)).count() == 0
     texts = [r.text for r in secrets.redacted(docs).collect()]
     assert texts.count("[secret]") == 2 and texts.count(None) == 1
+
+
+def noise(n, seed=1):
+    return random.Random(seed).randbytes(n)
+
+
+def kinds_in(data):
+    token = base64.b64encode(data).decode()
+    return {k for _, k, _ in layers_of(f"a {token} b")[1]}
+
+
+PACKS = (gzip.compress, zlib.compress, bz2.compress, lzma.compress)
+
+
+def test_compressed_in_compressed_and_members():
+    inner = f"x {AKIA}".encode()
+    for first in PACKS:
+        for second in PACKS:
+            assert kinds_in(first(second(inner))) == {1}
+            assert kinds_in(first(noise(3000) + second(inner) + noise(3000))) == {1}
+        assert kinds_in(first(b"nothing here") + first(b"nor here") + first(inner)) == {1}
+    assert kinds_in(gzip.compress(b"toke") + gzip.compress(b"n=abcdef")) == {0}
+    deep = inner
+    for _ in range(300):
+        deep = gzip.compress(deep)
+    assert kinds_in(deep) == {1}
+
+
+def test_layers_of_mixed_bytes():
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        for name, data in (("a", b"token=abcdef"), ("b.gz", gzip.compress(AKIA.encode()))):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    assert kinds_in(out.getvalue()) == {0, 1}
+    for code in ("utf-16", "utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be"):
+        assert 1 in kinds_in(f"né {AKIA}, x".encode(code))
+        assert 1 in kinds_in(zlib.compress(f"né {AKIA}, x".encode(code)))
+    assert kinds_in(f"né {AKIA}, x".encode("latin-1")) == {1}
+    assert kinds_in(noise(999) + AKIA.encode() + noise(999, 2)) == {1}

@@ -1,9 +1,14 @@
 """Secret scan: patterns over the text and over every layer that can be unwrapped from it.
 
 A worklist starts with the text itself. Each layer is scanned; then its percent escapes
-are decoded in place (one new layer), its character escapes likewise, and every base64
-token that holds text, or compressed text, gives a layer of its own. New layers go to the
-worklist until none is left; a layer seen before at the same place is not taken again.
+are decoded in place (one new layer), its character escapes likewise, and every base64 token,
+gives a layer of its bytes. UTF-16 and UTF-32 in a layer give further ones. New layers go to the worklist
+until none is left; a layer seen before at the same place is not taken again.
+
+Compressed streams begin anywhere in a layer's bytes and have any number of members. They
+are unpacked a piece at a time to their end, and what they hold is searched in the same
+ways, further streams too. All its finds stand for the range of the stream in the token,
+so only the kinds that occur are kept and no character of it needs a place.
 Each layer knows, for each of its characters, the range of the original text it came from,
 so every find is reported as a range of the original text.
 
@@ -12,20 +17,26 @@ and range is not there yet. Everything happens row by row: documents are never s
 
 Defined results: a null or empty text has no finds (digest of the empty string); repeated
 rows are scanned row by row; other columns are ignored; an empty table gives an empty
-table; long texts are scanned whole. A compressed token is unpacked up to `MAX_UNPACKED`
-bytes, a guard against bombs; `n_cut` counts tokens that hold more.
+table; long texts are scanned whole. A damaged stream is scanned up to the damage. Layers
+are counted (`n_layers`) when they hold a run of 12 printable characters, the least any find
+takes. A stream is unpacked up to `MAX_UNPACKED` bytes; `n_cut` counts those that hold more.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
+import hashlib
 import lzma
+import mmap
 import re
+import sys
+import tempfile
 import zlib
 from collections import deque
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +60,43 @@ ESCAPE = re.compile(
     r"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-
+#: Lines of base64; a run starts where its first line does.
+RUN = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_ \t\r\n-]{17})"
+    r"[A-Za-z0-9+/_-]++(?:[ \t]*+[\r\n][ \t\r\n]*+[A-Za-z0-9+/_-]++)++={0,2}"
+)
+#: ASCII runs in UTF-16 and UTF-32, with the bytes a character takes and the one that counts.
+WIDE = [
+    (re.compile(f"(?:{body}){{12,}}"), step, place)
+    for body, step, place in (
+        (r"[\t-\r -~]\x00", 2, 0), (r"\x00[\t-\r -~]", 2, 1),
+        (r"[\t-\r -~]\x00\x00\x00", 4, 0), (r"\x00\x00\x00[\t-\r -~]", 4, 3),
+    )
+]
+
+#: The same over bytes, as compressed content has no places of its own.
+ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES, PERCENT_BYTES, ESCAPE_BYTES, BASE64_BYTES, RUN_BYTES = (
+    re.compile(p.pattern.encode(), p.flags & re.IGNORECASE)
+    for p in (ASSIGN, ACCESS, HEX, PERCENT, ESCAPE, BASE64, RUN)
+)
+WIDE_BYTES = [(re.compile(p.pattern.encode()), step, place) for p, step, place in WIDE]
+#: The least run that any secret, wrapped or not, takes.
+PRINTABLE = re.compile(rb"[\t-\r -~]{12}|" + b"|".join(p.pattern for p, *_ in WIDE_BYTES))
+#: First bytes of gzip, zlib, bz2 and xz.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00", re.DOTALL)
+MAGIC_BYTES = 10
+#: A byte that is in no find, escape or token, also not in one of wider characters.
+BREAK = re.compile(rb"[!$()*,<>?@\[\]^`|~\x01-\x08\x0e-\x1f\x7f-\xff]|\x00{8}")
+LAST_BREAK = re.compile(rb"(?s:.*)(?:" + BREAK.pattern + rb")")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+#: Bytes unpacked at a time, and compressed bytes given at a time.
+PIECE, STEP = 1 << 20, 1 << 14
 MAX_UNPACKED = 1 << 26
+
 MARK = "[secret]"
+#: Streams in streams are unpacked in each other.
+DEPTH = 100_000
+sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
 
 SCHEMA = (
     "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, "
@@ -152,60 +197,330 @@ def unwrap_escapes(layer: Layer) -> Layer | None:
     return _replaced(layer, parts) if parts else None
 
 
-def _unpack(data: bytes) -> tuple[bytes, bool] | None:
-    """Contents of compressed bytes and whether they were cut; None if not compressed."""
-    if data[:2] == b"\x1f\x8b":
-        unpacker = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2]) % 31 == 0:
-        unpacker = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        unpacker = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        unpacker = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        contents = unpacker.decompress(data, MAX_UNPACKED)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    return contents, not unpacker.eof and len(contents) >= MAX_UNPACKED
+def _parts(data, match: re.Match, decoded: Callable[[re.Match], bytes], pattern: re.Pattern) -> Iterator[bytes]:
+    """Data with the places of a pattern decoded, from its first match on, a piece at a time."""
+    at = 0
+    for m in chain([match], pattern.finditer(data, match.end())):
+        for start in range(at, m.start(), PIECE):
+            yield data[start : min(start + PIECE, m.start())]
+        yield decoded(m)
+        at = m.end()
+    for start in range(at, len(data), PIECE):
+        yield data[start : start + PIECE]
 
 
-def _readable(text: str) -> bool:
-    bad = sum(1 for c in text if not (c.isprintable() or c in "\t\r\n"))
-    return 20 * bad <= len(text)
+def _escaped(m: re.Match) -> bytes:
+    number = next(int(g, 10 if i == 5 else 16) for i, g in enumerate(m.groups()) if g is not None)
+    # No find and no token has other than ASCII characters.
+    return bytes([number]) if number < 128 else b"\xff"
 
 
-def unwrap_base64(layer: Layer) -> tuple[list[Layer], int]:
-    """Layers of base64 tokens that hold text or compressed text; how many were cut."""
-    layers, cut = [], 0
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        low, high = layer.low[m.start() : m.end()], layer.high[m.start() : m.end()]
-        unpacked = _unpack(data)
-        if unpacked:
-            cut += unpacked[1]
-            text = _text_of(unpacked[0])[0]
-            if text and _readable(text):
-                # Inside a compressed token no character has a place of its own.
-                layers.append(Layer(text, np.full(len(text), low[0]), np.full(len(text), high[-1])))
-            continue
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            continue
-        if text and _readable(text):
-            ends = np.cumsum([len(c.encode()) for c in text])
-            begins = np.concatenate([[0], ends[:-1]])
-            # Byte i comes from the base64 characters i*8//6 to (i*8+7)//6.
-            layers.append(Layer(text, low[begins * 8 // 6], high[((ends - 1) * 8 + 7) // 6]))
-    return layers, cut
+def _decoded(data, start: int, end: int, skip: int) -> Iterator[bytes]:
+    """The bytes of base64 characters from start to end without white space and the first `skip`."""
+    rest = b""
+    for at in range(start, end, PIECE):
+        piece = data[at : min(at + PIECE, end)].translate(_STANDARD, b" \t\r\n=")
+        piece, skip = rest + piece[skip:], max(0, skip - len(piece))
+        whole = len(piece) // 4 * 4
+        yield binascii.a2b_base64(piece[:whole])
+        rest = piece[whole:]
+    if len(rest) > 1:
+        yield binascii.a2b_base64(rest + b"=" * (4 - len(rest)))
+
+
+@dataclass
+class Inside:
+    """What compressed tokens hold: kinds of finds, layers met, contents seen whole."""
+
+    kinds: set[int] = field(default_factory=set)
+    layers: int = 0
+    cut: int = 0
+    seen: set[bytes] = field(default_factory=set)
+
+
+class Unpacker:
+    """Members of one compressed stream, one after the other; their contents are scanned together.
+
+    `used` is the number of bytes up to the end of the last member, `starts` where members begin.
+    """
+
+    def __init__(self, inside: Inside):
+        self.content = Content(inside)
+        self.tool, self.pending, self.starts = None, b"", []
+        self.fed = self.used = 0
+        self.done = self.ended = False
+
+    def _open(self, data: bytes) -> bool:
+        if not MAGIC.match(data):
+            return False
+        if data[:1] == b"\x1f":
+            self.tool = zlib.decompressobj(31)
+        elif data[:1] == b"\x78":
+            self.tool = zlib.decompressobj()
+        else:
+            self.tool = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
+        return True
+
+    def feed(self, data) -> None:
+        for at in range(0, len(data), STEP):
+            if self.done:
+                return
+            self._feed(bytes(data[at : at + STEP]))
+
+    def _feed(self, data: bytes) -> None:
+        data, self.pending = self.pending + data, b""
+        self.fed += len(data)
+        while data:
+            if self.tool is None:
+                # Members may be padded; the next one is known by its first bytes.
+                data = data.lstrip(b"\0") if self.starts else data
+                if self.starts and len(data) < MAGIC_BYTES:
+                    self.pending = data
+                    self.fed -= len(data)
+                    return
+                if not self._open(data):
+                    self.finish()
+                    return
+                self.starts.append(self.fed - len(data))
+            data = self._contents(data)
+            if data is None:
+                self.finish()
+                return
+            if self.tool.eof:
+                self.tool, self.used = None, self.fed - len(data)
+
+    def _contents(self, data: bytes) -> bytes | None:
+        """Push what the bytes unpack to; the bytes behind the member are returned, None if damaged."""
+        deflate = not isinstance(self.tool, (bz2.BZ2Decompressor, lzma.LZMADecompressor))
+        while True:
+            try:
+                piece = self.tool.decompress(data, PIECE)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return None
+            self.content.push(piece)
+            if self.tool.eof:
+                return self.tool.unused_data
+            data = self.tool.unconsumed_tail if deflate else b""
+            if not data and (len(piece) < PIECE if deflate else self.tool.needs_input):
+                return b""
+
+    def finish(self) -> None:
+        if not self.done:
+            self.done = True
+            self.ended = self.tool is None and self.used > 0
+            self.content.end()
+
+
+class Content:
+    """Bytes that all stand for one range, taken in pieces.
+
+    They are held up to the last byte that no find, escape or token can hold, and what is
+    before is searched. A run without such a byte goes to a file when it is long, and is
+    searched there, so memory does not grow with it.
+    """
+
+    def __init__(self, inside: Inside):
+        self.inside = inside
+        self.held, self.size, self.total = [], 0, 0
+        self.file, self.counted = None, False
+        #: Open streams; the last bytes, their place, and where members of open streams begin.
+        self.unpackers, self.tail, self.at, self.taken = [], b"", 0, set()
+
+    def push(self, piece: bytes) -> None:
+        self.inside.cut += len(piece) > MAX_UNPACKED - self.total >= 0
+        piece = piece[: max(0, MAX_UNPACKED - self.total)]
+        self.total += len(piece)
+        if not piece:
+            return
+        if self.file is not None:
+            m = BREAK.search(piece)
+            self.file.write(piece if m is None else piece[: m.end()])
+            if m is None:
+                return
+            self._filed()
+            piece = piece[m.end() :]
+        self.held.append(piece)
+        self.size += len(piece)
+        if self.size < PIECE:
+            return
+        data = b"".join(self.held)
+        m = LAST_BREAK.match(data)
+        if m:
+            self._search(data[: m.end()])
+            self.held, self.size = [data[m.end() :]], len(data) - m.end()
+        else:
+            self.file = tempfile.TemporaryFile()
+            self.file.write(data)
+            self.held, self.size = [], 0
+
+    def _filed(self) -> None:
+        self.file.flush()
+        data, file = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ), self.file
+        self.file = None
+        self._search(data)
+        file.close()
+
+    def end(self) -> None:
+        if self.file is not None:
+            self._filed()
+        whole, data = self.at == 0, b"".join(self.held)
+        self.held = []
+        if not (whole and self._known(data)):
+            self._search(data)
+        for one in self.unpackers:
+            one.finish()
+        self.unpackers = []
+
+    def _known(self, data: bytes) -> bool:
+        key = hashlib.blake2b(data, digest_size=16).digest()
+        if key in self.inside.seen:
+            return True
+        self.inside.seen.add(key)
+        return False
+
+    def _search(self, data) -> None:
+        if not len(data):
+            return
+        self._unpack(data)
+        work, derived = deque([data]), False
+        while work:
+            data = work.popleft()
+            if not PRINTABLE.search(data):
+                continue
+            if derived or not self.counted:
+                self.inside.layers += 1
+            derived = self.counted = True
+            self._kinds(data)
+            for parts in self._derived(data):
+                if isinstance(data, bytes):
+                    new = b"".join(parts)
+                    if new and not self._known(new):
+                        deque(members(new, self.inside), maxlen=0)
+                        work.append(new)
+                else:
+                    inner = Content(self.inside)
+                    for part in parts:
+                        inner.push(part)
+                    inner.end()
+
+    def _unpack(self, data) -> None:
+        """Go on with open streams, and open those that begin here, also across the last end."""
+        for one in self.unpackers:
+            before = len(one.starts)
+            one.feed(data)
+            self.taken.update(one.origin + s for s in one.starts[before:])
+        tail = len(self.tail)
+        joined = self.tail + data[: MAGIC_BYTES - 1]
+        found = [m.start() - tail for m in MAGIC.finditer(joined) if m.start() < tail < m.end()]
+        for start in chain(found, (m.start() for m in MAGIC.finditer(data))):
+            place = self.at + start
+            if place not in self.taken:
+                one = Unpacker(self.inside)
+                one.origin = place
+                if start < 0:
+                    one.feed(self.tail[start:] + data[:MAGIC_BYTES])
+                one.feed(_Slice(data, start if start >= 0 else MAGIC_BYTES))
+                self.taken.update(place + s for s in one.starts)
+                self.unpackers.append(one)
+        self.unpackers = [one for one in self.unpackers if not one.done]
+        self.at += len(data)
+        self.tail = (self.tail + data[-MAGIC_BYTES + 1 :])[-MAGIC_BYTES + 1 :]
+
+    def _kinds(self, data) -> None:
+        kinds = self.inside.kinds
+        # A mapped file is not copied to look for the words first.
+        lowered = data.lower() if isinstance(data, bytes) else None
+        told = lowered is None or any(word.encode() in lowered for word in _KEYWORDS)
+        if told and 0 not in kinds and any(m.end(2) - m.start(2) >= 6 for m in ASSIGN_BYTES.finditer(data)):
+            kinds.add(0)
+        if 1 not in kinds and any(m.end() - m.start() >= 20 for m in ACCESS_BYTES.finditer(data)):
+            kinds.add(1)
+        if 2 not in kinds and HEX_BYTES.search(data):
+            kinds.add(2)
+
+    def _derived(self, data) -> Iterator[Iterator[bytes]]:
+        m = PERCENT_BYTES.search(data) if data.find(b"%") >= 0 else None
+        if m:
+            yield _parts(data, m, lambda m: bytes.fromhex(m[0].replace(b"%", b"").decode()), PERCENT_BYTES)
+        m = ESCAPE_BYTES.search(data)
+        if m:
+            yield _parts(data, m, _escaped, ESCAPE_BYTES)
+        for pattern, step, place in WIDE_BYTES if data.find(b"\0") >= 0 else ():
+            for m in pattern.finditer(data):
+                yield (data[i : min(i + PIECE * step, m.end())][place::step] for i in range(m.start(), m.end(), PIECE * step))
+        for pattern in (BASE64_BYTES,):
+            for m in pattern.finditer(data):
+                for skip in range(1):
+                    yield _decoded(data, *m.span(), skip)
+
+
+class _Slice:
+    """The rest of bytes or of a mapped file, sliced without a copy of the whole."""
+
+    def __init__(self, data, start: int):
+        self.data, self.start = data, start
+
+    def __len__(self) -> int:
+        return max(0, len(self.data) - self.start)
+
+    def __getitem__(self, part: slice) -> bytes:
+        return self.data[self.start + part.start : self.start + part.stop]
+
+
+def members(data: bytes, inside: Inside | None = None) -> Iterator[tuple[int, Unpacker]]:
+    """The compressed streams in some bytes, each with its start; they may begin anywhere."""
+    taken = set()
+    for m in MAGIC.finditer(data):
+        if m.start() not in taken:
+            one = Unpacker(inside or Inside())
+            one.feed(_Slice(data, m.start()))
+            one.finish()
+            taken.update(m.start() + s for s in one.starts)
+            yield m.start(), one
+
+
+def unwrap_wide(layer: Layer) -> list[Layer]:
+    """Layers of the ASCII runs of UTF-16 and UTF-32 bytes."""
+    layers = []
+    if "\0" in layer.text:
+        for pattern, step, place in WIDE:
+            for m in pattern.finditer(layer.text):
+                low, high = layer.low[m.start() : m.end()], layer.high[m.start() : m.end()]
+                layers.append(Layer(m[0][place::step], low[::step], high[step - 1 :: step]))
+    return layers
+
+
+def unwrap_base64(layer: Layer) -> tuple[list[Layer], set[tuple[int, int, int]], int, int]:
+    """Layers of base64 tokens; finds in compressed ones, as ranges of the text; layers in these.
+
+    A token is a run of its characters.
+    """
+    layers, spans, count, cut = [], set(), 0, 0
+    for pattern in (BASE64,):
+        for m in pattern.finditer(layer.text):
+            whole = np.arange(m.start(), m.end())
+            if pattern is RUN:
+                codes = np.frombuffer(m[0].encode(), dtype=np.uint8)
+                whole = whole[(codes > 32) & (codes != 61)]
+            last = int(layer.high[m.end() - 1])
+            token = m[0].encode()
+            for skip in range(1):
+                data = b"".join(_decoded(token, 0, len(token), skip))
+                places = whole[skip:]
+                for start, one in members(data):
+                    kinds = one.content.inside.kinds
+                    count += one.content.inside.layers
+                    cut += one.content.inside.cut
+                    if kinds:
+                        end = ((one.used + start - 1) * 8 + 7) // 6 if one.ended and start + one.used < len(data) else -1
+                        high = int(layer.high[places[end]]) if end >= 0 else last
+                        spans.update((int(layer.low[places[start * 8 // 6]]), kind, high) for kind in kinds)
+                if not PRINTABLE.search(data):
+                    continue
+                at = np.arange(len(data))
+                # Byte i comes from the base64 characters i*8//6 to (i*8+7)//6.
+                layers.append(Layer(data.decode("latin-1"), layer.low[places[at * 8 // 6]], layer.high[places[(at * 8 + 7) // 6]]))
+    return layers, spans, count, cut
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
@@ -218,9 +533,11 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     layers = cut = 0
     while work:
         layer = work.popleft()
-        inner, more = unwrap_base64(layer)
-        cut += more
-        for new in (unwrap_percent(layer), unwrap_escapes(layer), *inner):
+        inner, packed, more, cuts = unwrap_base64(layer)
+        cut += cuts
+        spans.update(packed)
+        layers += more
+        for new in (unwrap_percent(layer), unwrap_escapes(layer), *unwrap_wide(layer), *inner):
             if new is None or not new.text:
                 continue
             key = (new.text, int(new.low[0]), int(new.high[-1]))
