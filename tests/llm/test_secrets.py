@@ -140,3 +140,25 @@ def test_layers_of_mixed_bytes():
         assert 1 in kinds_in(zlib.compress(f"né {AKIA}, x".encode(code)))
     assert kinds_in(f"né {AKIA}, x".encode("latin-1")) == {1}
     assert kinds_in(noise(999) + AKIA.encode() + noise(999, 2)) == {1}
+
+
+@pytest.mark.parametrize("width, end", [(76, "\n"), (64, "\r\n"), (20, "\n  "), (10, "\n")])
+def test_base64_in_lines(width, end):
+    plain_text = "words before " * 20 + AKIA + " and behind" * 20
+    for data in (plain_text.encode(), gzip.compress(noise(500).hex().upper().encode() + plain_text.encode())):
+        token = base64.b64encode(data).decode()
+        wrapped = end.join(token[i : i + width] for i in range(0, len(token), width))
+        text = f"Content\n\n{wrapped}\n\nmore text"
+        found = [(a, b) for a, k, b in layers_of(text)[1] if k == 1]
+        assert found and AKIA not in secrets.redact(text)
+        assert all(text.index(token[:8]) <= a < b <= text.index("\n\nmore") for a, b in found)
+
+
+@pytest.mark.parametrize("glue", ["path/to/", "x", "ab", "a_b-", "word/x"])
+def test_base64_glued_to_a_word(glue):
+    for data in (f"the note {AKIA} ends".encode(), gzip.compress(f"the {AKIA}".encode())):
+        token = base64.b64encode(data).decode()
+        for tail in ("", "Q", "Qx", "/tail"):
+            text = f"see {glue}{token.rstrip('=')}{tail} there"
+            (*_, (start, kind, end)) = layers_of(text)[1]
+            assert kind == 1 and 4 <= start < end <= len(text) - 6

@@ -2,7 +2,8 @@
 
 A worklist starts with the text itself. Each layer is scanned; then its percent escapes
 are decoded in place (one new layer), its character escapes likewise, and every base64 token,
-gives a layer of its bytes. UTF-16 and UTF-32 in a layer give further ones. New layers go to the worklist
+also in lines or glued to other characters, gives a layer of its bytes for each of its four
+alignments. UTF-16 and UTF-32 in a layer give further ones. New layers go to the worklist
 until none is left; a layer seen before at the same place is not taken again.
 
 Compressed streams begin anywhere in a layer's bytes and have any number of members. They
@@ -448,9 +449,9 @@ class Content:
         for pattern, step, place in WIDE_BYTES if data.find(b"\0") >= 0 else ():
             for m in pattern.finditer(data):
                 yield (data[i : min(i + PIECE * step, m.end())][place::step] for i in range(m.start(), m.end(), PIECE * step))
-        for pattern in (BASE64_BYTES,):
+        for pattern in (RUN_BYTES, BASE64_BYTES):
             for m in pattern.finditer(data):
-                for skip in range(1):
+                for skip in range(4):
                     yield _decoded(data, *m.span(), skip)
 
 
@@ -493,10 +494,11 @@ def unwrap_wide(layer: Layer) -> list[Layer]:
 def unwrap_base64(layer: Layer) -> tuple[list[Layer], set[tuple[int, int, int]], int, int]:
     """Layers of base64 tokens; finds in compressed ones, as ranges of the text; layers in these.
 
-    A token is a run of its characters.
+    A token is a run of its characters, or lines of them with the white space taken out. It may
+    be glued to other characters, so it is decoded from each of its first four.
     """
     layers, spans, count, cut = [], set(), 0, 0
-    for pattern in (BASE64,):
+    for pattern in (RUN, BASE64):
         for m in pattern.finditer(layer.text):
             whole = np.arange(m.start(), m.end())
             if pattern is RUN:
@@ -504,7 +506,7 @@ def unwrap_base64(layer: Layer) -> tuple[list[Layer], set[tuple[int, int, int]],
                 whole = whole[(codes > 32) & (codes != 61)]
             last = int(layer.high[m.end() - 1])
             token = m[0].encode()
-            for skip in range(1):
+            for skip in range(4):
                 data = b"".join(_decoded(token, 0, len(token), skip))
                 places = whole[skip:]
                 for start, one in members(data):
