@@ -162,3 +162,15 @@ def test_base64_glued_to_a_word(glue):
             text = f"see {glue}{token.rstrip('=')}{tail} there"
             (*_, (start, kind, end)) = layers_of(text)[1]
             assert kind == 1 and 4 <= start < end <= len(text) - 6
+
+
+def test_compressed_content_is_scanned_to_its_end(monkeypatch):
+    assert 1 in kinds_in(zlib.compress(b"many words, " * (6 << 20) + AKIA.encode()))
+    monkeypatch.setattr(secrets, "PIECE", 1 << 10)
+    rng = random.Random(5)
+    for n in range(0, 4000, 233):
+        for fill in (b"A", b"\0", b" ", b"w, ", b"w-, "):
+            assert kinds_in(gzip.compress(fill * n + b", token = abcdef ," + fill * 50)) == {0}
+        middle = gzip.compress(rng.randbytes(3000) + f" {AKIA} ".encode() + rng.randbytes(3000))
+        for data in (middle, base64.b64encode(middle), base64.encodebytes(middle), base64.b64encode(middle).decode().encode("utf-16-le")):
+            assert kinds_in(gzip.compress(rng.randbytes(n) + b", " + data)) == {1}

@@ -20,7 +20,7 @@ Defined results: a null or empty text has no finds (digest of the empty string);
 rows are scanned row by row; other columns are ignored; an empty table gives an empty
 table; long texts are scanned whole. A damaged stream is scanned up to the damage. Layers
 are counted (`n_layers`) when they hold a run of 12 printable characters, the least any find
-takes. A stream is unpacked up to `MAX_UNPACKED` bytes; `n_cut` counts those that hold more.
+takes. Nothing is cut, so `n_cut` is 0. Time grows with what is unpacked, memory does not.
 """
 
 from __future__ import annotations
@@ -92,7 +92,6 @@ LAST_BREAK = re.compile(rb"(?s:.*)(?:" + BREAK.pattern + rb")")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 #: Bytes unpacked at a time, and compressed bytes given at a time.
 PIECE, STEP = 1 << 20, 1 << 14
-MAX_UNPACKED = 1 << 26
 
 MARK = "[secret]"
 #: Streams in streams are unpacked in each other.
@@ -235,7 +234,6 @@ class Inside:
 
     kinds: set[int] = field(default_factory=set)
     layers: int = 0
-    cut: int = 0
     seen: set[bytes] = field(default_factory=set)
 
 
@@ -322,15 +320,12 @@ class Content:
 
     def __init__(self, inside: Inside):
         self.inside = inside
-        self.held, self.size, self.total = [], 0, 0
+        self.held, self.size = [], 0
         self.file, self.counted = None, False
         #: Open streams; the last bytes, their place, and where members of open streams begin.
         self.unpackers, self.tail, self.at, self.taken = [], b"", 0, set()
 
     def push(self, piece: bytes) -> None:
-        self.inside.cut += len(piece) > MAX_UNPACKED - self.total >= 0
-        piece = piece[: max(0, MAX_UNPACKED - self.total)]
-        self.total += len(piece)
         if not piece:
             return
         if self.file is not None:
@@ -491,13 +486,13 @@ def unwrap_wide(layer: Layer) -> list[Layer]:
     return layers
 
 
-def unwrap_base64(layer: Layer) -> tuple[list[Layer], set[tuple[int, int, int]], int, int]:
+def unwrap_base64(layer: Layer) -> tuple[list[Layer], set[tuple[int, int, int]], int]:
     """Layers of base64 tokens; finds in compressed ones, as ranges of the text; layers in these.
 
     A token is a run of its characters, or lines of them with the white space taken out. It may
     be glued to other characters, so it is decoded from each of its first four.
     """
-    layers, spans, count, cut = [], set(), 0, 0
+    layers, spans, count = [], set(), 0
     for pattern in (RUN, BASE64):
         for m in pattern.finditer(layer.text):
             whole = np.arange(m.start(), m.end())
@@ -512,7 +507,6 @@ def unwrap_base64(layer: Layer) -> tuple[list[Layer], set[tuple[int, int, int]],
                 for start, one in members(data):
                     kinds = one.content.inside.kinds
                     count += one.content.inside.layers
-                    cut += one.content.inside.cut
                     if kinds:
                         end = ((one.used + start - 1) * 8 + 7) // 6 if one.ended and start + one.used < len(data) else -1
                         high = int(layer.high[places[end]]) if end >= 0 else last
@@ -522,7 +516,7 @@ def unwrap_base64(layer: Layer) -> tuple[list[Layer], set[tuple[int, int, int]],
                 at = np.arange(len(data))
                 # Byte i comes from the base64 characters i*8//6 to (i*8+7)//6.
                 layers.append(Layer(data.decode("latin-1"), layer.low[places[at * 8 // 6]], layer.high[places[(at * 8 + 7) // 6]]))
-    return layers, spans, count, cut
+    return layers, spans, count
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
@@ -532,11 +526,10 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     identity = np.arange(len(text), dtype=np.int64)
     work = deque([Layer(text, identity, identity + 1)])
     seen = {(text, 0, len(text))}
-    layers = cut = 0
+    layers = 0
     while work:
         layer = work.popleft()
-        inner, packed, more, cuts = unwrap_base64(layer)
-        cut += cuts
+        inner, packed, more = unwrap_base64(layer)
         spans.update(packed)
         layers += more
         for new in (unwrap_percent(layer), unwrap_escapes(layer), *unwrap_wide(layer), *inner):
@@ -549,7 +542,7 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
             layers += 1
             spans.update((int(new.low[a]), kind, int(new.high[b - 1])) for a, kind, b in scan(new.text))
             work.append(new)
-    return base, sorted(spans), layers, cut
+    return base, sorted(spans), layers, 0
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
