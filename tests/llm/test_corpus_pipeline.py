@@ -93,5 +93,5 @@ def test_all_are_registered():
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1

@@ -152,5 +152,44 @@ FROM doc d LEFT JOIN base b USING (doc_id) LEFT JOIN each_doc e USING (doc_id)
 """
 
 
+def _draw(i: int) -> str:
+    return f"CAST('0x' || substr(digest, {8 * i + 1}, 8) AS BIGINT)"
+
+
+OP12 = f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS unit,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents
+),
+drawn AS (
+  SELECT *, {_draw(0)} % (len(unit) + 1) AS a, {_draw(1)} % (len(unit) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR {_draw(2)} % 100 >= 90 THEN 'plain' WHEN {_draw(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM doc
+),
+cut AS (
+  SELECT doc_id, len(unit) AS n, text, form,
+    array_to_string(list_slice(unit, 1, least(a, b)), '') AS prefix,
+    array_to_string(list_slice(unit, least(a, b) + 1, greatest(a, b)), '') AS middle,
+    array_to_string(list_slice(unit, greatest(a, b) + 1, len(unit)), '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5, "op6_jaccard_join": OP6, "op8_license_scan": _op8(), "op9_warc": OP9}
+    return {
+        "op5_decontamination": OP5,
+        "op6_jaccard_join": OP6,
+        "op8_license_scan": _op8(),
+        "op9_warc": OP9,
+        "op12_fill_in_middle": OP12,
+    }

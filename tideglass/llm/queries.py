@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideglass.llm import ann, byte_bpe, decontaminate, jaccard, licenses, quality, secrets, suffix_dedup, token_files, warc
+from tideglass.llm import (
+    ann,
+    byte_bpe,
+    decontaminate,
+    infill,
+    jaccard,
+    licenses,
+    quality,
+    runs,
+    secrets,
+    simhash,
+    suffix_dedup,
+    token_files,
+    warc,
+)
 from tideglass.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +68,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_byte_bpe,
@@ -66,5 +92,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_license_scan,
         op9_warc,
         op10_secret_scan,
+        op11_periodic_runs,
+        op12_fill_in_middle,
+        op13_simhash,
     )
     return {query.__name__: query for query in named}
