@@ -178,15 +178,29 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most `sample_rows` labelled documents that are not held out."""
+    """Train on at most `sample_rows` labelled documents that are not held out.
+
+    One task trains on the sample; only the weights, 256 KiB, come to the driver.
+    """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # Choose by id before any text is touched; ties in the hash go by id.
     chosen = marked.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # At most sample_rows small rows: the bound of the sample is the bound of the broadcast.
     found = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text"))
-    rows = found.limit(sample_rows).toPandas()
-    return train(rows["text"].tolist(), rows["quality"].to_numpy(dtype=np.int64))
+
+    def run(batches):
+        rows = [(t, q) for b in batches for t, q in zip(b.column("text").to_pylist(), b.column("quality").to_pylist())]
+        model = train([t for t, _ in rows], np.array([q for _, q in rows], dtype=np.int64))
+        yield pa.RecordBatch.from_pydict({"weight": [model.weight.tobytes()], "bias": [model.bias]})
+
+    # A limit after a sort leaves one partition, in order.
+    ship(docs.sparkSession)
+    sample = found.limit(sample_rows).select("text", "quality").coalesce(1)
+    row = sample.mapInArrow(run, "weight binary, bias double").first()
+    if row is None:  # an empty sample may be planned away with its task
+        return train([], np.empty(0, dtype=np.int64))
+    return Model(np.frombuffer(bytes(row.weight), dtype=np.float64), row.bias)
 
 
 def score(model: Model, docs: DataFrame) -> Column:
