@@ -53,6 +53,16 @@ def test_sets_are_exact():
     assert alone == [s.tolist() for s in jaccard.shingle_sets([t.encode() for t in texts])]
 
 
+def test_structured_words_do_not_meet(spark):
+    """A word of 1,024 letters that sums of powers cannot tell from its complement."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word[:64]), (4, other[:64]), (5, word.upper())]
+    assert found(spark, rows) == plain(rows)
+    data = " ".join(f"{c * n}{d}" for n in range(70) for c in "ab" for d in "xyz").encode()
+    assert len(set(jaccard.word_hashes(data)[0].tolist())) == len(set(data.split()))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 9, 10, 17, 40, 101])
 def test_pool_demand_is_met_by_any_similar_pair(n):
     rng = np.random.default_rng(n)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import chunks, id_and_text, rows_batch, ship
-from tideglass.llm.hashing import BASE, BYTE_CODES, mix, power_tables
+from tideglass.llm.hashing import BASE, mix
 from tideglass.operators.lookup import BROADCAST_BYTES, lookup_join
 from tideglass.session import materialise
 
@@ -54,15 +54,35 @@ _VERIFY_COST = 50  # one verified candidate, in postings
 _ROW = "_tideglass_row"
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Words up to so many bytes are hashed together, eight bytes a step; longer ones by a digest each.
+_SHORT = 64
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word of ASCII-lower-cased bytes."""
+    """Hash and first byte of each word of ASCII-lower-cased bytes.
+
+    Every eight bytes are mixed in, so no two words of up to eight bytes share a hash and no
+    structure of longer ones makes them meet.
+    """
     points = np.frombuffer(data, dtype=np.uint8)
     solid = (points != 32) & ((points < 9) | (points > 13))
     edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = power_tables(len(points) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[points] * up[: len(points)])])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)), begin
+    size = end - begin
+    hashes = mix(size.astype(np.uint64) * BASE)
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([points, np.zeros(8, np.uint8)]), 8)
+    on = np.flatnonzero(size <= _SHORT)
+    at = 0
+    while len(on):
+        block = np.ascontiguousarray(eights[begin[on] + at]).view("<u8").ravel()
+        hashes[on] = mix(hashes[on] * BASE + (block & _MASKS[np.minimum(size[on] - at, 8)]))
+        at += 8
+        on = on[size[on] > at]
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        digest = hashlib.blake2b(data[begin[i] : end[i]], digest_size=8).digest()
+        hashes[i] = np.uint64(int.from_bytes(digest, "little"))
+    return hashes, begin
 
 
 def shingle_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
