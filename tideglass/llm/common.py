@@ -19,6 +19,11 @@ import tideglass
 #: Characters of text a worker holds as arrays at a time; a longer document is taken alone.
 CHUNK_CHARS = 1 << 20
 
+#: Bytes of rows that Spark hands to a worker at a time, where the session does not say it.
+#: Whole texts come in batches of 10,000 rows otherwise, tens of megabytes on both sides.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 _shipped: set[str] = set()
@@ -31,8 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the Python workers, once per application.
 
-    Same as `--py-files`: workers import the modules however the driver found them.
+    Same as `--py-files`: workers import the modules however the driver found them. Bounds
+    the batches of texts that workers hold, too.
     """
+    if spark.conf.get(_BATCH) == "67108864b":  # Spark's default
+        spark.conf.set(_BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(tideglass.__file__).resolve().parent

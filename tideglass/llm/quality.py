@@ -41,7 +41,7 @@ SEED = 11
 THRESHOLD = 0.7
 GRAMS = (3, 4, 5)
 #: Characters held as arrays at a time; features do not reach across a cut between words.
-_SPAN = 1 << 19
+_SPAN = 1 << 17
 
 _PRIME = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -146,12 +146,15 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     layer, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
     bags: list[tuple[np.ndarray, np.ndarray]] = [None] * rows
     for owner, buckets in batches_of_features(texts):
-        order = np.argsort(owner, kind="stable")
-        owner, buckets = owner[order], buckets[order]
-        for at in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
-            if len(at):
-                kinds, times = np.unique(buckets[at], return_counts=True)
-                bags[owner[at[0]]] = (kinds.astype(np.int32), (times / len(at)).astype(np.float32))
+        # Counted in a few large arrays: a worker gives their memory back, that of many small ones it keeps.
+        keys, times = np.unique(owner * BUCKETS + buckets, return_counts=True)
+        total = np.bincount(owner)
+        held = keys // BUCKETS
+        kinds = (keys % BUCKETS).astype(np.int32)
+        share = (times / total[held]).astype(np.float32)
+        starts = np.flatnonzero(np.diff(held, prepend=-1))
+        for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(held)]):
+            bags[held[first]] = (kinds[first:last], share[first:last])
     empty = (np.empty(0, np.int32), np.empty(0, np.float32))
     epochs = max(EPOCHS, -(-LEAST_STEPS // rows))
     step, steps = 0, epochs * rows
