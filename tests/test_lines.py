@@ -8,6 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from conftest import event, window
+from tideglass.functions.rawjson import is_valid_json, repeated_members
 from tideglass.sources.lines import (
     decode_events,
     event_lines,
@@ -67,6 +68,14 @@ CASES = [
     ("[1]", "not_an_object"),
     ("7", "not_an_object"),
     (raw('"kind": "key_press"', '"kind": "key_press", "kind": "wheel"'), "not_json"),
+    (raw('"kind": "key_press"', r'"kind": "key_press", "k\u0069nd": "wheel"'), "not_json"),
+    (raw('"title": "t"', '"title": "t", "title": "u"'), "not_json"),
+    (raw('"delta_x": null', '"delta_x": null, "delta_x": null'), "not_json"),
+    (raw('"window": {', '"window": null, "window": {'), "not_json"),
+    (raw('"kind"', '"extra": 1, "extra": {"kind": 1, "kind": 2}, "kind"'), None),
+    (raw('"title"', '"zoom": [], "zoom": {"title": 1, "title": 2}, "title"'), None),
+    (raw('"kind"', '"extra": ' + "[" * 900 + "]" * 900 + ', "kind"'), None),
+    (raw('"kind"', '"extra": ' + "[" * 1200 + "]" * 1200 + ', "kind"'), "not_json"),
     (changed(value=5), "bad_field:value"),
     (changed(value=None), "bad_field:value"),
     (without("value"), "bad_field:value"),
@@ -97,14 +106,22 @@ def test_decoding_is_strict(spark):
     found = [r["reason"] for r in decoded.orderBy("i").select("i", "reason").collect()]
     assert list(zip([t for t, _ in CASES], found)) == CASES
     good = valid_events(decoded).orderBy("i").collect()
-    assert len(good) == 8
+    assert len(good) == 11
     assert good[0]["window"].asDict() == {
         "app_name": "Terminal", "process_path": None, "process_id": 42, "title": "t",
         "x": 1.0, "y": 2.5, "width": 300.0, "height": None,
     }
     assert good[1]["window"] is None and good[4]["delta_x"] == 3.0
     assert good[5]["window"]["process_id"] == 2**64 - 1
-    assert quarantined(decoded).count() == len(CASES) - 8
+    assert quarantined(decoded).count() == len(CASES) - 11
+
+
+def test_repeated_members_are_named(spark):
+    texts = ['{"a":1}', '{"a":1,"b":2,"a":3}', r'{"b":1,"\u0062":2,"c":{"a":1,"a":2}}', '{"x":1,"x":2}', "[1]", "7", "{", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = rows.select("i", repeated_members(F.col("t"), ["a", "b"]).alias("r"), is_valid_json(F.col("t")).alias("v"))
+    listed = [(r["r"], r["v"]) for r in found.orderBy("i").collect()]
+    assert listed == [([], True), (["a"], True), (["b"], True), ([], True), (None, True), (None, True), (None, False), (None, False)]
 
 
 def test_lines_are_trimmed_and_filtered_by_prefix(spark):

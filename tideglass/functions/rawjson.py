@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.functions.times import instant_text
+from tideglass.session import prepare
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -65,8 +68,14 @@ def tagged_json(text: Column) -> Column:
 
     `try_parse_json` stops after the first value and ignores what follows. As the first
     item of an array whose second item is a tag of the text, a truncated, doubled or
-    trailed value either fails or leaves the tag out of place.
+    trailed value either fails or leaves the tag out of place. Of a member given twice the
+    last value stays, as JSON readers have it. Not taken, and so NULL, are texts beyond the
+    limits of Spark's parser: 999 levels, 1,000 digits of a number, 50,000 characters of a
+    member's name.
     """
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        prepare(session)
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), _tag(text), F.lit('"]')))
 
 
@@ -76,6 +85,20 @@ def tagged_value(pair: Column, text: Column) -> Column:
     return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 
 
+def repeated_members(text: Column, names: Iterable[str]) -> Column:
+    """Those of `names` that the JSON object in `text` has more than once, in their order.
+
+    Member names are compared as they read, whatever escapes they are written with; members
+    of inner objects do not count. NULL for texts that are not an object.
+    """
+    keys = F.json_object_keys(text)
+    listed = F.array(*[F.lit(name) for name in names])
+    twice = F.filter(listed, lambda name: F.size(F.filter(keys, lambda key: key == name)) > 1)
+    # Nearly all objects repeat nothing: one look at the whole list tells.
+    whole = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(keys.isNull(), F.lit(None)).when(whole, F.array().cast("array<string>")).otherwise(twice)
+
+
 def is_valid_json(text: Column) -> Column:
     """True for one whole JSON value; false for anything else, NULL and '' included."""
     return tagged_value(tagged_json(text), text).isNotNull()

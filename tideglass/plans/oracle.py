@@ -392,6 +392,18 @@ def oracle_sql() -> dict[str, str]:
                 {_COMPACT.format("last_seen_at")} AS last_seen_text
             FROM dim""",
         "raw_json_validity": "SELECT event_id, event_id % 3 = 2 AS is_json FROM events",
+        "raw_json_repeats": """
+            SELECT event_id, event_id % 3 < 2 AS is_json,
+                CASE WHEN event_id % 3 = 0 THEN 'a' ELSE '' END AS repeated
+            FROM events""",
+        "ingest_repeated_members": f"""{_WITH_EV},
+            judged AS (
+                SELECT *, event_id % 6 IN (2, 5) OR (event_id % 6 = 3 AND has_window) AS refused FROM ev
+            )
+            SELECT event_id, CASE WHEN refused THEN 'not_json' ELSE 'valid' END AS state,
+                CASE WHEN NOT refused THEN event_kind END AS kind,
+                CASE WHEN has_window AND NOT refused THEN title END AS title
+            FROM judged""",
         "capture_normalized": f"""WITH {_CAPTURED}
             SELECT event_id, occurred_at, kind, value, delta_x, delta_y,
                 CASE WHEN has_window THEN app_name END AS app_name,

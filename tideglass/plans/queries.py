@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideglass.functions.hashing import context_hash
-from tideglass.functions.rawjson import is_valid_json
+from tideglass.functions.rawjson import is_valid_json, repeated_members
 from tideglass.operators import dimension as dim
 from tideglass.operators import summary, timeline, views
 from tideglass.operators.numbering import number_rows
@@ -28,6 +28,7 @@ from tideglass.sources.lines import (
     read_lines,
     to_wire,
     valid_events,
+    wire_json,
 )
 from tideglass.store import Snapshot, TimelineStore
 from tideglass.streaming.pipeline import stream_lines, stream_payloads
@@ -432,6 +433,55 @@ def q_ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select(event_id.alias("event_id"), "reason")
 
 
+def q_ingest_repeated_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wire lines that give members twice: by event id unknown ones at the top, within the
+    window and nested, which are ignored, or known ones at the top or within the window, which
+    are refused.
+    """
+    prepare(spark)
+    events = arrivals(given_events(spark, sf_dir))
+    line = events.select("event_id", wire_json().alias("value"))
+    value, case = F.col("value"), F.col("event_id") % 6
+    top = lambda members: F.concat(F.lit("{" + members + ","), F.substring(value, 2, 2**31 - 1))
+    inner = lambda members: F.regexp_replace(value, r'"window":\{', '"window":{' + members + ",")
+    payload = (
+        F.when(case == 0, top('"extra":1,"extra":[2]'))
+        .when(case == 1, inner('"zoom":1,"zoom":{"zoom":2}'))
+        .when(case == 2, top('"kind":"wheel"'))
+        .when(case == 3, inner('"title":"other"'))
+        .when(case == 4, top('"extra":{"kind":1,"kind":2,"window":{"title":1,"title":2}}'))
+        .otherwise(top(r'"k\u0069nd":"wheel"'))
+    )
+    decoded = decode_events(line.select("event_id", payload.alias("payload")))
+    taken = F.col("reason").isNull()
+    return decoded.select(
+        "event_id",
+        F.coalesce("reason", F.lit("valid")).alias("state"),
+        F.when(taken, F.col("kind")).alias("kind"),
+        F.when(taken, F.col("window.title")).alias("title"),
+    )
+
+
+def q_raw_json_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third raw text repeats members at two levels, every third nests deeply, every
+    third breaks off behind a repeated member.
+    """
+    prepare(spark)
+    props = F.col("props")
+    third = F.col("event_id") % 3
+    depth = (F.col("event_id") % 900).cast("int")
+    text = (
+        F.when(third == 0, F.concat(F.lit('{"a":'), props, F.lit(',"b":{"c":1,"c":2},"a":0}')))
+        .when(third == 1, F.concat(F.repeat(F.lit("["), depth), props, F.repeat(F.lit("]"), depth)))
+        .otherwise(F.concat(F.lit('{"a":'), props, F.lit(',"a":}')))
+    )
+    return given_events(spark, sf_dir).select(
+        "event_id",
+        is_valid_json(text).alias("is_json"),
+        F.concat_ws(",", repeated_members(text, ("a", "b", "c"))).alias("repeated"),
+    )
+
+
 # The front door: a feed of text files into a store, and events without or with odd ids.
 
 

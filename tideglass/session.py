@@ -11,12 +11,17 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Without it a variant refuses an object with a member given twice, which JSON readers take.
+REPEATS_ALLOWED = "spark.sql.variant.allowDuplicateKeys"
+
+
 def build_session(app_name: str = "tideglass", **conf: str) -> SparkSession:
     """A session with the settings the library expects; `conf` wins over them."""
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        REPEATS_ALLOWED: "true",
         # Call sites recorded per column cost more than planning a small query.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
@@ -28,7 +33,11 @@ def build_session(app_name: str = "tideglass", **conf: str) -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session zone: the model stores UTC instants and partitions by UTC date."""
+    """Pin what the library relies on: instants in UTC, as the model stores and partitions by
+    UTC date, and JSON objects that may repeat a member.
+    """
+    if spark.conf.get(REPEATS_ALLOWED) != "true":
+        spark.conf.set(REPEATS_ALLOWED, "true")
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark

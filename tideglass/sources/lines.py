@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.functions.rawjson import tagged_json, tagged_value
+from tideglass.functions.rawjson import repeated_members, tagged_json, tagged_value
 from tideglass.functions.text import trim_text
 from tideglass.functions.times import instant_text, parse_instant
 from tideglass.operators.lookup import lookup_join
 from tideglass.operators.numbering import number_rows
 from tideglass.schemas import EVENT_KINDS, PAYLOAD, PROCESS_ID, WINDOW_SNAPSHOT
-from tideglass.session import materialise
+from tideglass.session import materialise, prepare
 
 MAX_PROCESS_ID = 2**64 - 1
 
@@ -178,8 +178,11 @@ def decode_events(lines: DataFrame) -> DataFrame:
     """Decode `payload`; adds the event's fields and `reason`, NULL for a valid record.
 
     Each payload is parsed once, into a variant; member types are checked on it, since
-    `from_json` would take a number for a text and skip a missing member silently.
+    `from_json` would take a number for a text and skip a missing member silently. Members
+    the record does not know are ignored, however often they occur and whatever they hold;
+    a known member given twice makes a record ambiguous, and it is refused as `not_json`.
     """
+    prepare(lines.sparkSession)
     payload = F.col("payload")
     tagged = _spread(lines, {"_pair": tagged_json(payload)})
     parsed = _spread(tagged, {"_json": tagged_value(F.col("_pair"), payload)})
@@ -192,9 +195,14 @@ def decode_events(lines: DataFrame) -> DataFrame:
     timed = _spread(typed, {"occurred_at": parse_instant(F.col("_v_occurred_at"))})
 
     has_window = F.col("_t_window").startswith("OBJECT")
+    # The text of the window's object keeps what its variant no longer tells.
+    twice = F.size(repeated_members(payload, _EVENT_MEMBERS)) > 0
+    window_text = F.get_json_object(payload, "$.window")
+    window_twice = has_window & (F.size(repeated_members(window_text, _WINDOW_MEMBERS)) > 0)
     failures = [
         ("not_json", F.col("_json").isNull()),
         ("not_an_object", F.col("_event").isNull()),
+        ("not_json", twice | window_twice),
         *[(f"bad_field:{n}", ~_accepted(n, rule, "_")) for n, rule in _EVENT_MEMBERS.items()],
         ("bad_field:occurred_at", F.col("occurred_at").isNull()),
         ("unknown_kind", ~F.col("_v_kind").isin(*EVENT_KINDS)),
