@@ -1,6 +1,7 @@
 """Cases that decide between a right and a nearly right implementation."""
 
-from datetime import timedelta
+import random
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -158,11 +159,44 @@ def test_thinned_top_k_on_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(timeline, "LAST_STEP_ROWS", 300)
     df = spark.range(5000).selectExpr("xxhash64(id) % 40 AS v", "id AS event_id").repartition(9)
     order = timeline.sort_keys("v", "event_id", "desc")
-    rows = timeline._page_of(df, "event_id", order, 90, 30, 5000).collect()
+    rows = timeline._page_of(df, ["v", "event_id"], order, True, 90, 30, 5000).collect()
     wanted = sorted(df.collect(), reverse=True)[90:120]
     assert rows == wanted
 
 
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["text", "long", "time", "few", "heavy"])
+def test_deep_pages_of_any_key(spark, monkeypatch, kind, descending):
+    """Narrowed by quantiles down to a few rows: shared prefixes, NULs, NULLs, ties, extremes."""
+    monkeypatch.setattr(timeline, "TOP_K_ROWS", 0)
+    monkeypatch.setattr(timeline, "RANGE_ROWS", 12)
+    rng = random.Random(f"{kind}{descending}")
+    make = {
+        "text": lambda: rng.choice(["", "a", "prefix shared by many ", "é", "a\0", "a\0\0", None]) + str(rng.randrange(40))
+        if rng.random() < 0.8 else rng.choice(["", "a", "a\0", "a\0\0", "\0", None]),
+        "long": lambda: rng.choice([None, -(2**60), 2**60, rng.randrange(-5, 5), rng.randrange(-(2**61), 2**61)]),
+        "time": lambda: rng.choice([None, datetime(1960, 1, 1), datetime(2026, 1, 1, microsecond=rng.randrange(9))]),
+        "few": lambda: rng.choice(["button_press", "button_release", "key_press", "key_release", "wheel"]),
+        "heavy": lambda: rng.choice(["first"] * 60 + ["last"] * 60 + ["in between", "more"]),
+    }[kind]
+
+    def value():
+        try:
+            return make()
+        except TypeError:  # a NULL with a number behind it
+            return None
+
+    ddl = {"long": "bigint", "time": "timestamp"}.get(kind, "string")
+    rows = [(value(), i * 7) for i in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, f"v {ddl}, event_id bigint").repartition(4)
+    order = timeline.sort_keys("v", "event_id", "desc" if descending else "asc")
+    wanted = [tuple(r) for r in df.orderBy(*order).collect()]
+    for offset, size in ((141, 30), (290, 30)):
+        found = timeline._page_of(df, ["v", "event_id"], order, descending, offset, size, 300)
+        assert [tuple(r) for r in found.orderBy(*order).collect()] == wanted[offset : offset + size]
+
+
 def test_past_the_end_keeps_page_and_total(mixed):
     page = mixed.list_events(EventQuery(page=7, size=4))
     assert (page.page, page.total, page.pages, ids(page)) == (7, 6, 2, [])

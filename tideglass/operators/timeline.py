@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideglass.functions.text import contains_text, normalise_search
 from tideglass.operators.lookup import content_bytes, lookup_join
-from tideglass.operators.numbering import ROW_MASK, number_rows
+from tideglass.operators.numbering import ROW_MASK
 from tideglass.operators.summary import in_range
 from tideglass.schemas import (
     DEFAULT_PAGE,
@@ -30,10 +32,16 @@ EVENT_SORTS = {
 }
 WINDOW_SORTS = ("last_seen_at", "first_seen_at", "window_id", "app_name", "event_count")
 
-# A page that ends below TOP_K_ROWS is found by a top-k; beyond it rows are numbered by a
-# distributed sort. The last step of a top-k is one task: it meets at most DIRECT_ROWS rows,
-# and from a longer list the candidates are thinned out first.
-TOP_K_ROWS = 10_000
+# A page that ends below TOP_K_ROWS is found by a top-k; beyond it quantiles of the sort key
+# narrow the list down to RANGE_ROWS around the page, and only those are sorted. The last step
+# of a top-k is one task: it meets at most DIRECT_ROWS rows, and from a longer list the
+# candidates are thinned out first.
+TOP_K_ROWS = 5_000
+RANGE_ROWS = 5_000
+QUANTILE_ACCURACY = 10_000
+# Behind every digit: keys that are NULL come last in both directions.
+NULL_DIGIT = 1 << 62
+DIGIT_BYTES = 7
 DIRECT_ROWS = 10_000_000
 LAST_STEP_ROWS = 1_000_000
 MAX_GROUPS = 1000
@@ -231,20 +239,95 @@ def _first_of_each_task(df: DataFrame, order: list[Column], rows: int) -> DataFr
     )
 
 
+def _digit(keys: DataFrame, name: str, level: int, descending: bool) -> Column:
+    """A whole number that orders rows as `name` does, as far as it tells them apart.
+
+    Of a text it is bytes 7 * level to 7 * level + 6, so it orders rows whose earlier bytes agree.
+    """
+    column, kind = F.col(name), keys.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        digits = F.substring(F.hex(column), 2 * DIGIT_BYTES * level + 1, 2 * DIGIT_BYTES)
+        number = F.conv(F.rpad(digits, 2 * DIGIT_BYTES, "0"), 16, 10).cast("bigint")
+    elif isinstance(kind, T.TimestampType):
+        number = F.unix_micros(column)
+    else:
+        number = column.cast("bigint")
+    return F.coalesce(-number if descending else number, F.lit(NULL_DIGIT))
+
+
+def _quantile_range(rows: DataFrame, digit: Column, place: int, size: int, held: int) -> tuple[int, int, int, int]:
+    """Least and greatest digit of a range that holds rows [place, place + size) of `held`, with
+    the exact numbers of rows below and within it. A sketch proposes, the counts confirm.
+    """
+    margin = 2 / QUANTILE_ACCURACY
+    while True:
+        shares = [max(place / held - margin, 0.0), min((place + size) / held + margin, 1.0)]
+        low, high = rows.agg(F.percentile_approx(digit, shares, QUANTILE_ACCURACY)).first()[0]
+        # The sketch keeps doubles, which round whole numbers beyond 2**53.
+        low, high = low - (abs(low) >> 52), high + (abs(high) >> 52)
+        inside = (digit >= low) & (digit <= high)
+        below, within, least, most = rows.agg(
+            F.count_if(digit < low), F.count_if(inside), F.min(F.when(inside, digit)), F.max(F.when(inside, digit))
+        ).first()
+        if below <= place and place + size <= below + within:
+            return least, most, below, within
+        margin = min(4 * margin, 1.0)
+
+
+def _narrowed(
+    rows: DataFrame, names: list[str], level: int, descending: bool, place: int, size: int, held: int
+) -> list[tuple[DataFrame, int, int]]:
+    """(rows, place, size): parts that hold rows [place, place + size) of `held` in the order of
+    `names`, each of at most RANGE_ROWS rows or of rows that the names cannot tell apart.
+    """
+    if held <= RANGE_ROWS or not names:
+        return [(rows, place, size)]
+    digit = _digit(rows, names[0], level, descending)
+    low, high, below, within = _quantile_range(rows, digit, place, size, held)
+    here = rows.where((digit >= low) & (digit <= high))
+    if low == high:
+        text = isinstance(rows.schema[names[0]].dataType, T.StringType) and low != NULL_DIGIT
+        if text:
+            least, most = here.agg(F.min(names[0]), F.max(names[0])).first()
+            reach = DIGIT_BYTES * (level + 1)
+            if least != most:
+                if max(len(least.encode()), len(most.encode())) <= reach:
+                    return [(here, place - below, size)]  # they differ in NUL bytes at their end
+                return _narrowed(here, names, level + 1, descending, place - below, size, within)
+        return _narrowed(here, names[1:], 0, descending, place - below, size, within)
+    if within < held:
+        return _narrowed(here, names, level, descending, place - below, size, within)
+    # Single digits hold most rows and the page lies across: each part has its share of it.
+    cuts = [digit == low, (digit > low) & (digit < high), digit == high]
+    counts = rows.agg(*[F.count_if(cut) for cut in cuts]).first()
+    parts = []
+    for cut, count in zip(cuts, counts):
+        begin, end = max(place, 0), min(place + size, count)
+        if begin < end:
+            parts += _narrowed(rows.where(cut), names, level, descending, begin, end - begin, count)
+        place -= count
+    return parts
+
+
 def _page_of(
-    keys: DataFrame, tie: str, order: list[Column], offset: int, size: int, total: int
+    keys: DataFrame, names: list[str], order: list[Column], descending: bool, offset: int, size: int, total: int
 ) -> DataFrame:
-    """Rows [offset, offset + size) of `total` rows in an order that `tie` makes total."""
-    last = offset + size
+    """Rows [offset, offset + size) of `total` rows in the order of `names`, the last of which
+    makes it total.
+    """
+    last = min(offset + size, total)
     if last <= TOP_K_ROWS:
         if total > DIRECT_ROWS:
             # The page is among the first rows of each task, and again of each group.
-            groups = min(max(LAST_STEP_ROWS // last, 1), MAX_GROUPS)
-            first = _first_of_each_task(keys, order, last).repartition(groups, tie)
+            groups = min(max(LAST_STEP_ROWS // max(last, 1), 1), MAX_GROUPS)
+            first = _first_of_each_task(keys, order, last).repartition(groups, names[-1])
             keys = _first_of_each_task(first, order, last)
         return keys.orderBy(*order).offset(offset).limit(size)
-    place = F.col("_place")
-    return number_rows(keys, order, "_place", start=0).where((place >= offset) & (place < last))
+    if offset >= last:
+        return keys.limit(0)
+    parts = _narrowed(keys, names, 0, descending, offset, last - offset, total)
+    pages = [rows.orderBy(*order).offset(place).limit(many) for rows, place, many in parts]
+    return reduce(DataFrame.union, pages)
 
 
 def _with_pos(rows: DataFrame, order: list[Column], offset: int) -> DataFrame:
@@ -258,7 +341,8 @@ def list_events(events: DataFrame, windows: DataFrame, query: EventQuery) -> Pag
 
     1. Count the matches, per day where the log is partitioned by day: the counts give
        the total, and for a sort by time the days that hold the page.
-    2. Find the page on the sort key and the event id alone.
+    2. Find the page on the sort key and the event id alone: the first rows by a top-k, a
+       deep page within the range of keys that quantiles and exact counts prove to hold it.
     3. Fetch the page's full rows, at most MAX_PAGE_SIZE, by id and day, and only their
        windows.
     """
@@ -276,12 +360,13 @@ def list_events(events: DataFrame, windows: DataFrame, query: EventQuery) -> Pag
     else:
         per_day, total = [], matches.count()
 
-    place = offset
+    place, held = offset, total
     if sort_by == "app_name":
         matches = matching_events(events, windows, query, with_app=True)
     elif sort_by == "occurred_at" and dated:
         days, place = _page_days(per_day, descending, offset, size)
         matches = matches.where(_among("occurred_date", days))
+        held = sum(rows for day, rows in per_day if day in days)
 
     found = []
     if offset < total:
@@ -289,7 +374,7 @@ def list_events(events: DataFrame, windows: DataFrame, query: EventQuery) -> Pag
         wanted = list(dict.fromkeys(["event_id", column, "window_id", *days_column]))
         keys = matches.select(*wanted)
         found = (
-            _page_of(keys, "event_id", order, place, size, total)
+            _page_of(keys, list(dict.fromkeys([column, "event_id"])), order, descending, place, size, held)
             .select("event_id", "window_id", *days_column)
             .collect()
         )
@@ -320,7 +405,9 @@ def list_windows(windows: DataFrame, query: WindowQuery) -> Page:
         *[f.name for f in WINDOW.fields]
     )
     total = matches.count()
-    rows = _with_pos(_page_of(matches, "window_id", order, offset, size, total), order, offset)
+    names = list(dict.fromkeys([column, "window_id"]))
+    descending = (query.sort_direction or "desc") == "desc"
+    rows = _with_pos(_page_of(matches, names, order, descending, offset, size, total), order, offset)
     rows = rows.select("pos", *[f.name for f in WINDOW.fields])
     return Page(page, size, total, page_count(total, size), rows.orderBy("pos"))
 

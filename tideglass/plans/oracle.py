@@ -469,6 +469,7 @@ def oracle_sql() -> dict[str, str]:
     }
     for direction in ("asc", "desc"):
         for key, column in columns.items():
+            sql[f"events_deep_{key}_{direction}"] = _listed(6200, 400, column, direction)
             sql[f"events_sort_{key}_{direction}"] = _listed(
                 EVENT_SORT_CURSOR, SORT_SIZE, column, direction
             )

@@ -646,6 +646,10 @@ def q_free_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(stored(spark, sf_dir).sql(FREE_SQL, {"kind": "wheel"}))
 
 
+# Further down the given 10,000 events than a top-k goes.
+DEEP_CURSOR = 6_200
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         name.removeprefix("q_"): value
@@ -684,6 +688,9 @@ def queries() -> dict[str, Query]:
     }
     for direction in ("asc", "desc"):
         for key in timeline.EVENT_SORTS:
+            found[f"events_deep_{key}_{direction}"] = _listed(
+                EventQuery(sort_by=key, sort_direction=direction, cursor=DEEP_CURSOR, size=400)
+            )
             found[f"events_sort_{key}_{direction}"] = _listed(
                 EventQuery(
                     cursor=EVENT_SORT_CURSOR, size=SORT_SIZE, sort_by=key, sort_direction=direction
