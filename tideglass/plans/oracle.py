@@ -144,11 +144,20 @@ def _top_select(condition: str) -> str:
         ORDER BY event_count DESC, app_name LIMIT 10"""
 
 
-_SUMMARY_ROW = f"""{_WITH_LOG}, top AS ({_top_select("TRUE")})
+def _summary_row(condition: str) -> str:
+    return f"""{_WITH_LOG}, top AS ({_top_select(condition)})
     SELECT {_TOTALS},
-        (SELECT string_agg(app_name || '=' || CAST(event_count AS VARCHAR), ';' ORDER BY pos)
-         FROM top) AS top_apps
-    FROM log"""
+        coalesce((SELECT string_agg(app_name || '=' || CAST(event_count AS VARCHAR), ';' ORDER BY pos)
+         FROM top), '') AS top_apps
+    FROM log WHERE {condition}"""
+
+
+_SUMMARY_ROW = _summary_row("TRUE")
+
+
+def _between(start: str, end: str) -> str:
+    return f"occurred_at >= TIMESTAMP '{start}' AND occurred_at <= TIMESTAMP '{end}'"
+
 
 _SHOWN_VALUE = """CASE WHEN event_kind = 'wheel' AND event_value = ''
     THEN 'delta_x:' || CAST(CAST(coalesce(delta_x, 0) AS BIGINT) AS VARCHAR)
@@ -351,6 +360,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(2 AS BIGINT) AS page, CAST(7 AS BIGINT) AS size, count(*) AS total,
                 CAST(ceil(count(*) / 7.0) AS BIGINT) AS pages
             FROM dim WHERE lower(app_name) LIKE '%app 1%'""",
+        "summary_days": _SUMMARY_ROW,
+        "summary_days_range": _summary_row(_RANGE),
+        "summary_days_cut": _summary_row(_between("2024-01-05 07:30:00", "2024-01-12 23:59:59")),
+        "summary_days_one": _summary_row(_between("2024-01-05 07:30:00", "2024-01-05 19:45:10")),
+        "summary_days_empty": _summary_row(_EMPTY),
         "summary_totals": _totals("TRUE"),
         "summary_totals_range": _totals(_RANGE),
         "summary_empty_range": _totals(_EMPTY),

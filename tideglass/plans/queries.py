@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tideglass.functions.hashing import context_hash
 from tideglass.functions.rawjson import is_valid_json, repeated_members
 from tideglass.operators import dimension as dim
-from tideglass.operators import summary, timeline, views
+from tideglass.operators import rollup, summary, timeline, views
 from tideglass.operators.numbering import number_rows
 from tideglass.operators.quality import constraint_report
 from tideglass.operators.summary import SummaryQuery
@@ -38,6 +38,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 START = "2024-01-05T00:00:00Z"
 END = "2024-01-12T12:00:00Z"
+# Bounds within days, whose rest is not counted.
+CUT_START, SAME_DAY, CUT_END = "2024-01-05T07:30:00Z", "2024-01-05T19:45:10Z", "2024-01-12T23:59:59Z"
 EMPTY_RANGE = SummaryQuery("2024-01-12T00:00:00Z", "2024-01-05T00:00:00Z")
 EVENT_ID = 42
 WINDOW_ID = 5
@@ -272,6 +274,30 @@ def _top(query: SummaryQuery) -> Query:
     return run
 
 
+_days: dict[tuple[str, str], rollup.DayPartials] = {}
+
+
+def _day_partials(spark: SparkSession, sf_dir: str) -> rollup.DayPartials:
+    """Partials of the stored log, of two batches that share days, written once."""
+    key = (prepare(spark).sparkContext.applicationId, sf_dir)
+    if key not in _days:
+        s = stored(spark, sf_dir)
+        even, odd = (s.log.where(F.col("event_id") % 2 == k) for k in (0, 1))
+        both = rollup.day_partials(even, s.windows).merged(rollup.day_partials(odd, s.windows))
+        _days[key] = rollup.DayPartials(materialise(both.apps), materialise(both.seen))
+    return _days[key]
+
+
+def _from_days(query: SummaryQuery) -> Query:
+    """One flat row of a range, merged from day partials and the days that the range cuts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = stored(spark, sf_dir)
+        return _summary_row(rollup.summary_from_days(_day_partials(spark, sf_dir), s.log, s.windows, query))
+
+    return run
+
+
 def q_activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary_row(stored(spark, sf_dir).summary())
 
@@ -679,6 +705,11 @@ def queries() -> dict[str, Query]:
         "windows_by_app": _listed_windows(WindowQuery(app_name="App 3")),
         "windows_page": _listed_windows(WindowQuery(page=2, size=5)),
         "windows_cursor": _listed_windows(WindowQuery(cursor=3, size=4)),
+        "summary_days": _from_days(SummaryQuery()),
+        "summary_days_range": _from_days(SummaryQuery(START, END)),
+        "summary_days_cut": _from_days(SummaryQuery(CUT_START, CUT_END)),
+        "summary_days_one": _from_days(SummaryQuery(CUT_START, SAME_DAY)),
+        "summary_days_empty": _from_days(EMPTY_RANGE),
         "summary_totals": _totals(SummaryQuery()),
         "summary_totals_range": _totals(SummaryQuery(START, END)),
         "summary_empty_range": _totals(EMPTY_RANGE),
