@@ -268,6 +268,18 @@ def test_running_results_equal_batch(spark, tmp_path, feed):
     assert running_result(spark, str(tmp_path / "s")).collect() == s.summary().collect()
 
 
+def test_running_results_before_the_first_trigger(spark, tmp_path):
+    schema = "event_id bigint, occurred_at timestamp, kind string, window struct<app_name: string, process_path: string, process_id: decimal(20,0), title: string, x: double, y: double, width: double, height: double>"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    started = stream_summary(stream, str(tmp_path / "s"), str(tmp_path / "sc"))
+    first = running_result(spark, str(tmp_path / "s")).first()
+    assert (first["total_events"], first["active_windows"], first["top_apps"]) == (0, 0, [])
+    started.awaitTermination()
+    stream_dimension(stream, str(tmp_path / "d"), str(tmp_path / "dc")).awaitTermination()
+    assert running_result(spark, str(tmp_path / "d")).collect() == []
+
+
 def test_wire_round_trip(spark, tmp_path):
     from conftest import arrivals_of
 

@@ -6,13 +6,15 @@ over moderate dimensions; for large ones read snapshots of a stored timeline ins
 
 Below `path`, `results/batch=N` holds a trigger's result and `published/batch=N` says that
 it is whole. Readers take the newest published one, so they see a former result while one is
-being written; the one before the newest is kept for readers under way.
+being written; the one before the newest is kept for readers under way. Batch -1 is the result
+over no events: it is published before the stream starts, for readers ahead of its first trigger.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,21 +23,27 @@ from tideglass.functions.hashing import context_hash
 from tideglass.operators.dimension import fold, identity_partials, number_windows
 from tideglass.operators.summary import kind_counts, summarise
 from tideglass.schemas import IDENTITY, UNKNOWN_APP
-from tideglass.session import delete_folder, scratch_scope
+from tideglass.session import delete_folder, scratch_scope, shared_folder
 from tideglass.streaming.pipeline import ALL_AVAILABLE
 
 
 KEPT_RESULTS = 2
+NO_EVENTS = -1
 
 
 def _published(spark: SparkSession, path: str) -> list[int]:
     """Published batches in order; at most KEPT_RESULTS and one."""
-    marks = spark.read.schema("number bigint").json(f"{path}/published/*")
+    try:
+        marks = spark.read.schema("number bigint").json(f"{path}/published/*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
     return sorted(row["number"] for row in marks.collect())
 
 
 def running_result(spark: SparkSession, path: str) -> DataFrame:
-    """The newest whole result of a running stream."""
+    """The newest whole result of a running stream, that over no events before its first trigger."""
     return spark.read.parquet(f"{path}/results/batch={_published(spark, path)[-1]}")
 
 
@@ -102,6 +110,11 @@ def _start(
             delete_folder(spark, f"{path}/published/batch={old}")
             delete_folder(spark, f"{path}/results/batch={old}")
 
+    spark = state.sparkSession
+    shared_folder(spark, path)
+    shared_folder(spark, checkpoint)
+    if not _published(spark, path):
+        publish(spark.createDataFrame([], state.schema), NO_EVENTS)
     return (
         state.writeStream.outputMode("complete")
         .foreachBatch(publish)
