@@ -3,10 +3,12 @@ import bz2
 import gzip
 import hashlib
 import io
+import json
 import lzma
 import random
 import re
 import tarfile
+import zipfile
 import zlib
 from urllib.parse import quote
 
@@ -174,3 +176,105 @@ def test_compressed_content_is_scanned_to_its_end(monkeypatch):
         middle = gzip.compress(rng.randbytes(3000) + f" {AKIA} ".encode() + rng.randbytes(3000))
         for data in (middle, base64.b64encode(middle), base64.encodebytes(middle), base64.b64encode(middle).decode().encode("utf-16-le")):
             assert kinds_in(gzip.compress(rng.randbytes(n) + b", " + data)) == {1}
+
+
+def test_streams_behind_any_wrapper():
+    inner = f"x {AKIA} y".encode()
+    packed = gzip.compress(inner)
+    percent = "".join(f"%{b:02x}" for b in packed)
+    chains = [percent, quote(packed, safe=""), "".join(f"\\x{b:02x}" for b in packed), repr(packed), json.dumps(packed.decode("latin-1"))]
+    chains += [quote(percent, safe=""), base64.b64encode(percent.encode()).decode(), quote(quote(base64.b64encode(packed).decode(), safe=""), safe="")]
+    for token in chains:
+        spans = layers_of(f"a {token} b")[1]
+        assert any(kind == 1 and 2 <= start < end <= 2 + len(token) for start, kind, end in spans), token
+        assert AKIA not in secrets.redact(f"a {token} b")
+    start, kind, end = layers_of(f"a {percent}%00%00 b")[1][-1]
+    assert (start, kind, end) == (2, 1, 2 + len(percent))
+
+
+def zipped(data, method=zipfile.ZIP_DEFLATED):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as archive:
+        archive.writestr("first.txt", b"nothing " * 9)
+        archive.writestr("a/second.txt", data)
+    return out.getvalue()
+
+
+def deflated(data, bits=-15):
+    tool = zlib.compressobj(9, zlib.DEFLATED, bits)
+    return tool.compress(data) + tool.flush()
+
+
+def alone(data):
+    return lzma.compress(data, format=lzma.FORMAT_ALONE)
+
+
+def test_more_kinds_of_streams():
+    inner = b"words and words, " * 30 + f"x {AKIA} y".encode()
+    for bits in (9, 10, 12, 15):
+        assert kinds_in(deflated(inner, bits)) == {1}
+    for method in (zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_STORED):
+        assert kinds_in(zipped(inner, method)) == {1}
+    for pack in (deflated, alone, zipped):
+        assert kinds_in(pack(inner)) == {1}
+        assert kinds_in(gzip.compress(base64.b64encode(pack(inner)))) == {1}
+    assert kinds_in(zipped(zipped(inner))) == {1} and kinds_in(gzip.compress(noise(5000) + zipped(inner))) == {1}
+
+
+def test_a_dictionary_beyond_the_bound_is_damage():
+    huge = lzma.compress(b"x" * 99 + AKIA.encode(), format=lzma.FORMAT_ALONE, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 20}])
+    huge = huge[:1] + (1 << 31).to_bytes(4, "little") + huge[5:]
+    assert kinds_in(huge) == set()
+
+
+def test_base64_split_by_escaped_line_ends():
+    token = base64.b64encode(b"some words before " + AKIA.encode() + b" and words behind").decode()
+    for width in (20, 40):
+        text = '{"key": "' + "\\n".join(token[i : i + width] for i in range(0, len(token), width)) + '\\n"}'
+        assert [k for _, k, _ in layers_of(text)[1]] == [1]
+    assert {k for _, k, _ in layers_of(json.dumps(json.dumps({"password": "hunter22"})))[1]} == {0}
+
+
+def test_contents_met_before_end_at_any_size(monkeypatch):
+    """A stream whose contents hold a stream with the same contents: as in one that unpacks to itself."""
+    monkeypatch.setattr(secrets, "PIECE", 1 << 10)
+    pieces = [random.Random(3).randbytes(1500) + b", " for _ in range(9)]
+    searched = []
+    original = secrets.Content._search
+    monkeypatch.setattr(secrets.Content, "_search", lambda self, data: (searched.append(len(data)), original(self, data)))
+    inside = secrets.Inside()
+    for _ in range(2):
+        content = secrets.Content(inside)
+        for piece in pieces:
+            content.push(piece)
+        before = len(searched)
+        content.end()
+    assert len(searched) == before and content.unpackers == []
+
+
+WRAPPERS = {
+    "base64": base64.b64encode,
+    "lines": base64.encodebytes,
+    "percent": lambda d: quote(d, safe="").encode(),
+    "every": lambda d: "".join(f"%{b:02X}" for b in d).encode(),
+    "x": lambda d: "".join(f"\\x{b:02x}" for b in d).encode(),
+    "u": lambda d: "".join(f"\\u{b:04x}" for b in d).encode(),
+    "html": lambda d: "".join(f"&#{b};" for b in d).encode(),
+    "json": lambda d: json.dumps(d.decode("latin-1")).encode(),
+    "gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "alone": alone, "zip": zipped,
+}
+TEXTUAL = ("base64", "lines", "percent", "every", "x", "u", "html", "json")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(sorted(WRAPPERS)), max_size=3), st.sampled_from(TEXTUAL), st.sampled_from([("token = hunter2222", 0), (AKIA, 1), ("0123456789abcdef" * 2, 2)]))
+def test_random_chains(chain, last, secret):
+    """Whatever is wrapped in up to four ways is found, as plain decoding in turn gives it back."""
+    data = f"note, {secret[0]} , end".encode()
+    for name in [*chain, last]:
+        data = WRAPPERS[name](data)
+    token = data.decode()
+    # A letter behind the last line would be one more line of the token.
+    text = f"a {token}, b"
+    found = [(a, b) for a, kind, b in layers_of(text)[1] if kind == secret[1]]
+    assert any(2 <= a < b <= 2 + len(token) for a, b in found), (chain, last)

@@ -1,15 +1,19 @@
 """Secret scan: patterns over the text and over every layer that can be unwrapped from it.
 
 A worklist starts with the text itself. Each layer is scanned; then its percent escapes
-are decoded in place (one new layer), its character escapes likewise, and every base64 token,
-also in lines or glued to other characters, gives a layer of its bytes for each of its four
-alignments. UTF-16 and UTF-32 in a layer give further ones. New layers go to the worklist
-until none is left; a layer seen before at the same place is not taken again.
-
-Compressed streams begin anywhere in a layer's bytes and have any number of members. They
-are unpacked a piece at a time to their end, and what they hold is searched in the same
-ways, further streams too. All its finds stand for the range of the stream in the token,
-so only the kinds that occur are kept and no character of it needs a place.
+are decoded in place (as text, and as single bytes where these differ), its character escapes
+likewise, those of JSON included, and every base64 token, also in lines or glued to other
+characters, gives a layer of its bytes for each of its four alignments. UTF-16 and UTF-32 in a
+layer give further ones. New layers go to the worklist until none is left; a layer seen
+before at the same place is not taken again.
+
+Compressed streams begin anywhere in the bytes of a layer, however it was unwrapped, and have
+any number of members: gzip, zlib (any header that holds its check), bz2, xz, lzma alone and
+deflated zip members; raw deflate, which has no mark, where a base64 token begins. They are
+unpacked a piece at a time to their end, and what they hold is searched in the same ways,
+further streams too; contents that were searched before, of whatever size, are not searched
+again, so streams that unpack to themselves end. All finds in a stream stand for its range in
+the layer, so only the kinds that occur are kept and no character of it needs a place.
 Each layer knows, for each of its characters, the range of the original text it came from,
 so every find is reported as a range of the original text.
 
@@ -20,7 +24,9 @@ Defined results: a null or empty text has no finds (digest of the empty string);
 rows are scanned row by row; other columns are ignored; an empty table gives an empty
 table; long texts are scanned whole. A damaged stream is scanned up to the damage. Layers
 are counted (`n_layers`) when they hold a run of 12 printable characters, the least any find
-takes. Nothing is cut, so `n_cut` is 0. Time grows with what is unpacked, memory does not.
+takes. Nothing is cut, so `n_cut` is 0. Time grows with what is unpacked, memory does not: a
+stream that asks for more than `LZMA_BYTES` of dictionary counts as damaged, and an unbroken
+run beyond `PIECE` spills to the task's own temporary file, which a retried task writes anew.
 """
 
 from __future__ import annotations
@@ -58,8 +64,9 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
-    r"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
+    r"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([nrtbf\"'\\/])"
 )
+_SHORT = {"n": 10, "r": 13, "t": 9, "b": 8, "f": 12}
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of base64; a run starts where its first line does.
 RUN = re.compile(
@@ -83,9 +90,22 @@ ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES, PERCENT_BYTES, ESCAPE_BYTES, BASE64_BYTES
 WIDE_BYTES = [(re.compile(p.pattern.encode()), step, place) for p, step, place in WIDE]
 #: The least run that any secret, wrapped or not, takes.
 PRINTABLE = re.compile(rb"[\t-\r -~]{12}|" + b"|".join(p.pattern for p, *_ in WIDE_BYTES))
-#: First bytes of gzip, zlib, bz2 and xz.
-MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00", re.DOTALL)
-MAGIC_BYTES = 10
+#: Two bytes begin a zlib stream if they name deflate, no dictionary, and divide by 31.
+_ZLIB = b"|".join(
+    re.escape(bytes([kind]))
+    + b"["
+    + b"".join(re.escape(bytes([more])) for more in range(256) if (256 * kind + more) % 31 == 0 and not more & 32)
+    + b"]"
+    for kind in range(0x08, 0x80, 0x10)
+)
+#: First bytes of gzip, bz2, xz, lzma alone, a deflated zip member, and zlib.
+MAGIC = re.compile(
+    rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x5d\x00\x00..(?:\xff{8}|....\x00{4})|PK\x03\x04....\x08\x00|" + _ZLIB,
+    re.DOTALL,
+)
+MAGIC_BYTES = 13
+#: Memory that one xz or lzma stream may ask for.
+LZMA_BYTES = 100 << 20
 #: A byte that is in no find, escape or token, also not in one of wider characters.
 BREAK = re.compile(rb"[!$()*,<>?@\[\]^`|~\x01-\x08\x0e-\x1f\x7f-\xff]|\x00{8}")
 LAST_BREAK = re.compile(rb"(?s:.*)(?:" + BREAK.pattern + rb")")
@@ -169,15 +189,29 @@ def _text_of(data: bytes) -> tuple[str, list[int]]:
     return "".join(text), sizes
 
 
-def unwrap_percent(layer: Layer) -> Layer | None:
+def unwrap_percent(layer: Layer) -> list[Layer]:
+    """The layer with percent escapes as UTF-8 text, and as single bytes where that differs."""
     if "%" not in layer.text:
-        return None
-    parts = []
+        return []
+    parts, single = [], []
     for m in PERCENT.finditer(layer.text):
-        text, sizes = _text_of(bytes.fromhex(m[0].replace("%", "")))
+        data = bytes.fromhex(m[0].replace("%", ""))
+        text, sizes = _text_of(data)
         ends = np.cumsum(sizes)
         parts.append((*m.span(), text, [(3 * (e - n), 3 * e) for e, n in zip(ends.tolist(), sizes)]))
-    return _replaced(layer, parts) if parts else None
+        single.append((*m.span(), data.decode("latin-1"), [(3 * i, 3 * i + 3) for i in range(len(data))]))
+    if not parts:
+        return []
+    differs = any(a[2] != b[2] for a, b in zip(parts, single))
+    return [_replaced(layer, p) for p in ([parts, single] if differs else [parts])]
+
+
+def _number(groups: tuple[str | None, ...]) -> int:
+    """Code point of a character escape, by its groups."""
+    at, digits = next((i, g) for i, g in enumerate(groups) if g is not None)
+    if at == 6:
+        return _SHORT.get(digits, ord(digits))
+    return int(digits, 10 if at == 5 else 16)
 
 
 def unwrap_escapes(layer: Layer) -> Layer | None:
@@ -185,7 +219,7 @@ def unwrap_escapes(layer: Layer) -> Layer | None:
         return None
     parts, pending = [], None
     for m in ESCAPE.finditer(layer.text):
-        number = next(int(g, 10 if i == 5 else 16) for i, g in enumerate(m.groups()) if g is not None)
+        number = _number(m.groups())
         if pending and pending[1] == m.start() and 0xDC00 <= number < 0xE000:
             number = 0x10000 + ((pending[2] - 0xD800) << 10) + (number - 0xDC00)
             parts.append((pending[0], m.end(), chr(number), [(0, m.end() - pending[0])]))
@@ -210,9 +244,9 @@ def _parts(data, match: re.Match, decoded: Callable[[re.Match], bytes], pattern:
 
 
 def _escaped(m: re.Match) -> bytes:
-    number = next(int(g, 10 if i == 5 else 16) for i, g in enumerate(m.groups()) if g is not None)
-    # No find and no token has other than ASCII characters.
-    return bytes([number]) if number < 128 else b"\xff"
+    number = _number(tuple(g if g is None else g.decode() for g in m.groups()))
+    # No find, token or stream has characters beyond a byte.
+    return bytes([number]) if number < 256 else b"\xff"
 
 
 def _decoded(data, start: int, end: int, skip: int) -> Iterator[bytes]:
@@ -241,24 +275,36 @@ class Unpacker:
     """Members of one compressed stream, one after the other; their contents are scanned together.
 
     `used` is the number of bytes up to the end of the last member, `starts` where members begin.
+    A raw one is deflated data without a head.
     """
 
-    def __init__(self, inside: Inside):
+    def __init__(self, inside: Inside, raw: bool = False):
         self.content = Content(inside)
         self.tool, self.pending, self.starts = None, b"", []
+        if raw:
+            self.tool, self.starts = zlib.decompressobj(-15), [0]
         self.fed = self.used = 0
         self.done = self.ended = False
 
-    def _open(self, data: bytes) -> bool:
+    def _open(self, data: bytes) -> int | None:
+        """Bytes ahead of the member's stream, -1 while its head is not whole; None if it is no member."""
         if not MAGIC.match(data):
-            return False
+            return None
+        if data[:4] == b"PK\x03\x04":
+            names = int.from_bytes(data[26:28], "little") + int.from_bytes(data[28:30], "little")
+            if len(data) < 30 or len(data) < 30 + names:
+                return -1
+            self.tool = zlib.decompressobj(-15)
+            return 30 + names
         if data[:1] == b"\x1f":
             self.tool = zlib.decompressobj(31)
-        elif data[:1] == b"\x78":
-            self.tool = zlib.decompressobj()
+        elif data[:1] == b"B":
+            self.tool = bz2.BZ2Decompressor()
+        elif data[:1] in b"\xfd\x5d":
+            self.tool = lzma.LZMADecompressor(memlimit=LZMA_BYTES)
         else:
-            self.tool = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
-        return True
+            self.tool = zlib.decompressobj()
+        return 0
 
     def feed(self, data) -> None:
         for at in range(0, len(data), STEP):
@@ -277,10 +323,16 @@ class Unpacker:
                     self.pending = data
                     self.fed -= len(data)
                     return
-                if not self._open(data):
+                head = self._open(data)
+                if head is None:
                     self.finish()
                     return
+                if head < 0:
+                    self.pending = data
+                    self.fed -= len(data)
+                    return
                 self.starts.append(self.fed - len(data))
+                data = data[head:]
             data = self._contents(data)
             if data is None:
                 self.finish()
@@ -315,12 +367,13 @@ class Content:
 
     They are held up to the last byte that no find, escape or token can hold, and what is
     before is searched. A run without such a byte goes to a file when it is long, and is
-    searched there, so memory does not grow with it.
+    searched there, so memory does not grow with it. `raw`: they may begin with raw deflate.
     """
 
-    def __init__(self, inside: Inside):
-        self.inside = inside
+    def __init__(self, inside: Inside, raw: bool = False):
+        self.inside, self.raw = inside, raw
         self.held, self.size = [], 0
+        self.digest = hashlib.blake2b(digest_size=16)
         self.file, self.counted = None, False
         #: Open streams; the last bytes, their place, and where members of open streams begin.
         self.unpackers, self.tail, self.at, self.taken = [], b"", 0, set()
@@ -328,6 +381,7 @@ class Content:
     def push(self, piece: bytes) -> None:
         if not piece:
             return
+        self.digest.update(piece)
         if self.file is not None:
             m = BREAK.search(piece)
             self.file.write(piece if m is None else piece[: m.end()])
@@ -357,18 +411,24 @@ class Content:
         file.close()
 
     def end(self) -> None:
-        if self.file is not None:
+        """Search what is left, unless the same contents, of any size, were searched to their end."""
+        unpackers, held, file = self.unpackers, self.held, self.file
+        self.unpackers, self.held = [], []
+        if self._known(self.digest, self.raw):
+            if file is not None:
+                file.close()
+            return
+        self.unpackers = unpackers
+        if file is not None:
             self._filed()
-        whole, data = self.at == 0, b"".join(self.held)
-        self.held = []
-        if not (whole and self._known(data)):
-            self._search(data)
+        else:
+            self._search(b"".join(held))
         for one in self.unpackers:
             one.finish()
         self.unpackers = []
 
-    def _known(self, data: bytes) -> bool:
-        key = hashlib.blake2b(data, digest_size=16).digest()
+    def _known(self, digest, raw: bool) -> bool:
+        key = digest.digest() + bytes([raw])
         if key in self.inside.seen:
             return True
         self.inside.seen.add(key)
@@ -387,14 +447,14 @@ class Content:
                 self.inside.layers += 1
             derived = self.counted = True
             self._kinds(data)
-            for parts in self._derived(data):
+            for parts, raw in self._derived(data):
                 if isinstance(data, bytes):
                     new = b"".join(parts)
-                    if new and not self._known(new):
-                        deque(members(new, self.inside), maxlen=0)
+                    if new and not self._known(hashlib.blake2b(new, digest_size=16), raw):
+                        deque(members(new, self.inside, raw), maxlen=0)
                         work.append(new)
                 else:
-                    inner = Content(self.inside)
+                    inner = Content(self.inside, raw)
                     for part in parts:
                         inner.push(part)
                     inner.end()
@@ -407,8 +467,13 @@ class Content:
             self.taken.update(one.origin + s for s in one.starts[before:])
         tail = len(self.tail)
         joined = self.tail + data[: MAGIC_BYTES - 1]
-        found = [m.start() - tail for m in MAGIC.finditer(joined) if m.start() < tail < m.end()]
-        for start in chain(found, (m.start() for m in MAGIC.finditer(data))):
+        found = [a - tail for a, b in _marks(joined) if a < tail < b]
+        if self.raw and not self.at:
+            one = Unpacker(self.inside, raw=True)
+            one.origin = 0
+            one.feed(data)
+            self.unpackers.append(one)
+        for start in chain(found, (a for a, _ in _marks(data))):
             place = self.at + start
             if place not in self.taken:
                 one = Unpacker(self.inside)
@@ -434,20 +499,22 @@ class Content:
         if 2 not in kinds and HEX_BYTES.search(data):
             kinds.add(2)
 
-    def _derived(self, data) -> Iterator[Iterator[bytes]]:
+    def _derived(self, data) -> Iterator[tuple[Iterator[bytes], bool]]:
+        """What can be unwrapped, in pieces, and whether it may begin with raw deflate."""
         m = PERCENT_BYTES.search(data) if data.find(b"%") >= 0 else None
         if m:
-            yield _parts(data, m, lambda m: bytes.fromhex(m[0].replace(b"%", b"").decode()), PERCENT_BYTES)
+            yield _parts(data, m, lambda m: bytes.fromhex(m[0].replace(b"%", b"").decode()), PERCENT_BYTES), False
         m = ESCAPE_BYTES.search(data)
         if m:
-            yield _parts(data, m, _escaped, ESCAPE_BYTES)
+            yield _parts(data, m, _escaped, ESCAPE_BYTES), False
         for pattern, step, place in WIDE_BYTES if data.find(b"\0") >= 0 else ():
             for m in pattern.finditer(data):
-                yield (data[i : min(i + PIECE * step, m.end())][place::step] for i in range(m.start(), m.end(), PIECE * step))
+                ends = range(m.start(), m.end(), PIECE * step)
+                yield (data[i : min(i + PIECE * step, m.end())][place::step] for i in ends), False
         for pattern in (RUN_BYTES, BASE64_BYTES):
             for m in pattern.finditer(data):
                 for skip in range(4):
-                    yield _decoded(data, *m.span(), skip)
+                    yield _decoded(data, *m.span(), skip), True
 
 
 class _Slice:
@@ -463,16 +530,36 @@ class _Slice:
         return self.data[self.start + part.start : self.start + part.stop]
 
 
-def members(data: bytes, inside: Inside | None = None) -> Iterator[tuple[int, Unpacker]]:
+def _marks(data) -> Iterator[tuple[int, int]]:
+    """Places of the first bytes of streams; they may overlap."""
+    m = MAGIC.search(data)
+    while m:
+        yield m.span()
+        m = MAGIC.search(data, m.start() + 1)
+
+
+def members(data: bytes, inside: Inside | None = None, raw: bool = False) -> Iterator[tuple[int, Unpacker]]:
     """The compressed streams in some bytes, each with its start; they may begin anywhere."""
     taken = set()
-    for m in MAGIC.finditer(data):
-        if m.start() not in taken:
-            one = Unpacker(inside or Inside())
-            one.feed(_Slice(data, m.start()))
+    for start, plain in chain([(0, True)] if raw else [], ((a, False) for a, _ in _marks(data))):
+        if plain or start not in taken:
+            one = Unpacker(inside or Inside(), plain)
+            one.feed(_Slice(data, start))
             one.finish()
-            taken.update(m.start() + s for s in one.starts)
-            yield m.start(), one
+            if not plain:
+                taken.update(start + s for s in one.starts)
+            yield start, one
+
+
+def streams(data: bytes, raw: bool = False) -> Iterator[tuple[int, int, set[int], int]]:
+    """(start, end, kinds of finds, layers) of the compressed streams in some bytes.
+
+    One that is damaged, or cut, stands for all that follows.
+    """
+    for start, one in members(data, raw=raw):
+        inside = one.content.inside
+        end = start + one.used if one.ended else len(data)
+        yield start, end, inside.kinds, inside.layers
 
 
 def unwrap_wide(layer: Layer) -> list[Layer]:
@@ -504,12 +591,10 @@ def unwrap_base64(layer: Layer) -> tuple[list[Layer], set[tuple[int, int, int]],
             for skip in range(4):
                 data = b"".join(_decoded(token, 0, len(token), skip))
                 places = whole[skip:]
-                for start, one in members(data):
-                    kinds = one.content.inside.kinds
-                    count += one.content.inside.layers
+                for start, end, kinds, inner in streams(data, raw=True):
+                    count += inner
                     if kinds:
-                        end = ((one.used + start - 1) * 8 + 7) // 6 if one.ended and start + one.used < len(data) else -1
-                        high = int(layer.high[places[end]]) if end >= 0 else last
+                        high = int(layer.high[places[((end - 1) * 8 + 7) // 6]]) if end < len(data) else last
                         spans.update((int(layer.low[places[start * 8 // 6]]), kind, high) for kind in kinds)
                 if not PRINTABLE.search(data):
                     continue
@@ -532,7 +617,8 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
         inner, packed, more = unwrap_base64(layer)
         spans.update(packed)
         layers += more
-        for new in (unwrap_percent(layer), unwrap_escapes(layer), *unwrap_wide(layer), *inner):
+        unwrapped = [*unwrap_percent(layer), unwrap_escapes(layer), *unwrap_wide(layer)]
+        for n, new in enumerate(chain(unwrapped, inner)):
             if new is None or not new.text:
                 continue
             key = (new.text, int(new.low[0]), int(new.high[-1]))
@@ -542,6 +628,11 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
             layers += 1
             spans.update((int(new.low[a]), kind, int(new.high[b - 1])) for a, kind, b in scan(new.text))
             work.append(new)
+            if n < len(unwrapped):
+                # Those of base64 tokens are known already.
+                for start, end, kinds, more in streams(new.text.encode("latin-1", "replace")):
+                    layers += more
+                    spans.update((int(new.low[start]), kind, int(new.high[end - 1])) for kind in kinds)
     return base, sorted(spans), layers, 0
 
 
