@@ -102,3 +102,27 @@ def test_odd_rows(spark):
     assert found(spark, rows[:0]) == []
     one = [(1, "very long " + text + " " + "z" * 200_000 + text)]
     assert found(spark, one) == plain(one)
+
+
+def test_deep_shallow_sort_of_falling_then_rising_strings():
+    texts = [b"%08d" % i for i in [*range(3000, 0, -1), *range(3000, 6000)]] + [b"same" * 300] * 3000
+    order, common = sd.deep_shallow_sort(texts)
+    assert [texts[i] for i in order] == sorted(texts)
+    assert all(common[i] == sd.common_prefix(texts[order[i - 1]], texts[order[i]]) for i in range(1, len(order), 7))
+
+
+def test_contested_contexts_of_one_document_are_dealt(spark, monkeypatch):
+    """One document's lines share a prefix; some lines, whole, come again."""
+    monkeypatch.setattr(sd, "BLOCK", 4)
+    dealt = []
+    original = sd._resolve
+    monkeypatch.setattr(sd, "_resolve", lambda contexts: (dealt.append(contexts), original(contexts))[1])
+    rng = random.Random(8)
+    prefix = "level=info service=frontend host=alpha region=north "
+    lines = [prefix + " ".join(str(rng.randrange(10**9)) for _ in range(9)) for _ in range(40)]
+    rows = [(1, "\n".join(lines + rng.sample(lines, 5))), (2, "\n".join(rng.sample(lines, 3)) + " end"), (3, "other " + prefix * 2)]
+    assert found(spark, rows) == plain(rows)
+    (contexts,) = dealt
+    counts = contexts.groupBy("h", "block").count().agg({"count": "max"}).first()[0]
+    whole = contexts.groupBy("h").count().agg({"count": "max"}).first()[0]
+    assert whole > 20 and counts <= max(12, whole // 3)

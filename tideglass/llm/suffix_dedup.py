@@ -299,34 +299,27 @@ def deep_shallow_sort(strings: list[bytes]) -> tuple[list[int], list[int]]:
     order: list[int] = []
     shared: list[int] = []
 
-    def shallow(members: list[int], depth: int) -> None:
-        if len(members) == 1:
-            order.append(members[0])
-            shared.append(-1)
-            return
+    # A stack of groups in order, so that depth of the split costs no recursion; below zero: equal strings.
+    stack = [(list(range(len(strings))), 0)] if strings else []
+    while stack:
+        members, depth = stack.pop()
+        if depth < 0 or len(members) == 1:
+            order.extend(members)
+            shared.extend([-1] + [len(strings[members[0]])] * (len(members) - 1))
+            continue
         if depth == SHALLOW:
             inner, common = BlindTrie([strings[i] for i in members]).sorted()
             order.extend(members[i] for i in inner)
             shared.extend([-1, *common[1:]])
-            return
+            continue
         symbol = {i: strings[i][8 * depth : 8 * depth + 8] for i in members}
-        pivot = symbol[members[len(members) // 2]]
+        pivot = sorted(symbol[members[i]] for i in (0, len(members) // 2, -1))[1]
         less = [i for i in members if symbol[i] < pivot]
-        more = [i for i in members if symbol[i] > pivot]
-        if less:
-            shallow(less, depth)
         equal = [i for i in members if symbol[i] == pivot]
-        if len(pivot) < 8:
-            # All bytes are in: these strings are equal.
-            order.extend(equal)
-            shared.extend([-1] + [len(strings[equal[0]])] * (len(equal) - 1))
-        else:
-            shallow(equal, depth + 1)
-        if more:
-            shallow(more, depth)
-
-    if strings:
-        shallow(list(range(len(strings))), 0)
+        more = [i for i in members if symbol[i] > pivot]
+        # A short symbol holds all bytes that were left.
+        parts = ((more, depth), (equal, depth + 1 if len(pivot) == 8 else -1), (less, depth))
+        stack.extend(part for part in parts if part[0])
     common = [
         common_prefix(strings[order[i - 1]], strings[order[i]]) if i and shared[i] < 0 else max(shared[i], 0)
         for i in range(len(order))
@@ -396,7 +389,8 @@ def _context_rows(docs: DataFrame, contested: DataFrame) -> DataFrame:
                 for text, doc, th, own in zip(texts, part.column("doc").to_pylist(), part.column("th").to_pylist(), runs):
                     data = text.as_buffer().to_pybytes()
                     for r in own:
-                        block = (doc ^ th) % r["blocks"]
+                        # Hashes of integers are the same in every worker; one document's contexts are dealt too.
+                        block = hash((doc, th, r["lo"])) % r["blocks"]
                         out.append((r["h"], block, r["blocks"], doc, th, r["lo"], r["at"], data[r["lo"] : r["hi"] + LENGTH]))
                 if out:
                     yield rows_batch(schema, list(zip(*out)))
