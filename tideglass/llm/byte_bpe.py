@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideglass.llm.common import chunks, id_and_text, rows_batch, ship
+from tideglass.llm.common import chunks, id_and_text, lean, rows_batch, ship
 
 # Classes of code points. The letters of contractions need classes of their own.
 OTHER, LETTER, NUMBER, SPACE, WHITE, QUOTE, L_SIMPLE, L_R, L_V, L_L, L_E = range(11)
@@ -37,6 +37,8 @@ _LETTERS = {"s": L_SIMPLE, "t": L_SIMPLE, "m": L_SIMPLE, "d": L_SIMPLE, "r": L_R
 
 _BLOCK = 64
 _CACHE_PIECES = 400_000
+#: Pieces that a worker keeps from task to task; more go when a task ends.
+_KEPT_PIECES = 100_000
 _HEAP_FROM = 64
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -313,6 +315,8 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                         [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(edges, edges[1:])],
                     ],
                 )
+        if len(words.pieces) > _KEPT_PIECES:
+            words.pieces.clear()
 
     ship(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(lean(run), SCHEMA)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -53,6 +55,39 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_POOL = pa.default_memory_pool()
+
+
+def give_back() -> None:
+    """In a worker: return freed memory to the system, as far as the C library can.
+
+    Arrow's own pool keeps freed buffers, the system's does not, so that one is used from now on.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    _POOL.release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """`run` for `mapInArrow`, in a worker that keeps no memory of the batches when its task ends.
+
+    Workers serve many tasks and stages, and several share a machine: what one holds while
+    idle is taken from the others.
+    """
+
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            give_back()
+
+    return wrapped
+
+
 def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text only: a null text counts as empty, other columns do not matter."""
     return docs.select(

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import id_and_text, sha256_hex, ship
+from tideglass.llm.common import give_back, id_and_text, sha256_hex, ship
 from tideglass.session import materialise
 
 WINDOW = 13
@@ -144,6 +144,7 @@ def _finder(tables: Broadcast):
                         spans += (start, start + one.length)
                     items.update(ids)
             found.append({"n_words": len(words), "spans": spans, "items": sorted(items)} | _verdict(len(words), spans, items))
+        give_back()
         return pa.array(found, type=_FOUND)
 
     return F.arrow_udf(find, _FOUND_TYPE)

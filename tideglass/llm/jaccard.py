@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import chunks, id_and_text, rows_batch, ship
+from tideglass.llm.common import chunks, id_and_text, lean, rows_batch, ship
 from tideglass.llm.hashing import BASE, mix
 from tideglass.operators.lookup import BROADCAST_BYTES, lookup_join
 from tideglass.session import materialise
@@ -152,7 +152,7 @@ def classify(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 sets = shingle_sets(_texts(part), size)
                 yield rows_batch(schema, [part.column("doc_id"), [_class_of(s) for s in sets], [len(s) for s in sets]])
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint")
+    return docs.mapInArrow(lean(run), "doc_id bigint, node bigint, n bigint")
 
 
 def _pool_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _pool_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if nodes:
             yield settle(nodes, pools)
 
-    return docs.mapInArrow(run, "token bigint, node bigint, seen bigint")
+    return docs.mapInArrow(lean(run), "token bigint, node bigint, seen bigint")
 
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = [s for s in shingle_sets(_texts(part), size) if len(s)]
                 yield rows_batch(schema, [[_class_of(s) for s in sets], [len(s) for s in sets], [_signed(s) for s in sets]])
 
-    return docs.mapInArrow(run, "node bigint, n bigint, tokens array<bigint>")
+    return docs.mapInArrow(lean(run), "node bigint, n bigint, tokens array<bigint>")
 
 
 def _prefix_rows(shared: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _prefix_rows(shared: DataFrame, percent: int) -> DataFrame:
     lists = shared.groupBy("node").agg(
         F.first("n").alias("n"), F.collect_list(F.struct("df", "token")).alias("pairs")
     )
-    return lists.mapInArrow(run, "token bigint, node bigint, n bigint, common bigint, k bigint, pos bigint")
+    return lists.mapInArrow(lean(run), "token bigint, node bigint, n bigint, common bigint, k bigint, pos bigint")
 
 
 def _least_common(n: Column, m: Column, percent: int) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import ship
+from tideglass.llm.common import give_back, lean, ship
 
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 15
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     # A limit after a sort leaves one partition, in order.
     ship(docs.sparkSession)
     sample = found.limit(sample_rows).select("text", "quality").coalesce(1)
-    row = sample.mapInArrow(run, "weight binary, bias double").first()
+    row = sample.mapInArrow(lean(run), "weight binary, bias double").first()
     if row is None:  # an empty sample may be planned away with its task
         return train([], np.empty(0, dtype=np.int64))
     return Model(np.frombuffer(bytes(row.weight), dtype=np.float64), row.bias)
@@ -215,6 +215,8 @@ def score(model: Model, docs: DataFrame) -> Column:
         values = texts.to_pylist()
         for begin in range(0, len(values), 256):
             out.append(shared.value.scores([t or "" for t in values[begin : begin + 256]]))
+        del values
+        give_back()
         return pa.array(np.concatenate(out) if out else [], type=pa.float64())
 
     return F.arrow_udf(run, "double")(F.col("text"))

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import chunks, id_and_text, rows_batch, sha256_hex, ship
+from tideglass.llm.common import chunks, give_back, id_and_text, lean, rows_batch, sha256_hex, ship
 
 # Kinds in their order, patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -671,7 +671,7 @@ def report(docs: DataFrame) -> DataFrame:
                 )
 
     ship(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(lean(run), SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -679,7 +679,9 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else redact(t) for t in texts.to_pylist()], type=pa.string())
+        cleaned = pa.array([t if t is None else redact(t) for t in texts.to_pylist()], type=pa.string())
+        give_back()
+        return cleaned
 
     ship(docs.sparkSession)
     marked = docs.withColumn("text", clean(F.col("text")))
