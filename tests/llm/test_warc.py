@@ -62,3 +62,41 @@ def test_missing_and_shuffled_segments():
 def test_broken_chunks():
     for block in (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nab", b"", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n"):
         assert warc.decode_block("response", "X", block) is None
+
+
+def test_damaged_archives_cost_only_what_they_hit(spark, tmp_path):
+    end = b"\r\n\r\n"
+    records = [r for page in range(1, 6) for r in warc.page_records(page, "u", (f"<p>{page}</p>" * page * 40).encode(), None, segment_bytes=600)]
+    parsed = list(warc.parse_records(b"".join(r + end for r in records)))
+    assert len(parsed) == len(records) and all(block is not None for _, block in parsed)
+    first = next(warc.page_records(9, "u", b"some payload", None))
+    length = first.index(b"Content-Length: ") + 16
+    cases = {
+        "cut_head": first[: length - 4],
+        "cut_block": first[:-5],
+        "too_long": first[:length] + b"9999999" + first[first.index(b"\r\n", length) :],
+        "too_short": first[:length] + b"7" + first[first.index(b"\r\n", length) :],
+        "no_number": first[:length] + b"x" + first[first.index(b"\r\n", length) :],
+        "noise": b"\xff\0noise" * 9,
+    }
+    good = b"".join(r + end for r in records)
+    for name, bad in cases.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "part-0").write_bytes(bad + end + good)
+        (folder / "part-1").write_bytes(bad)
+        rows = sorted(map(tuple, warc.read_archives(spark, str(folder)).collect()), key=repr)
+        whole = [r for r in rows if r[5]]
+        assert whole == sorted(((p, len(x := (f"<p>{p}</p>" * p * 40)), digest(x), "response", None, True) for p in range(1, 6)), key=repr), name
+        rest = [r for r in rows if not r[5]]
+        assert len(rest) == 2 and all(r[1:3] == (None, None) for r in rest)
+        assert name == "noise" or [(r[0], r[3]) for r in rest] == [(9, "response")] * 2, name
+
+
+def test_a_damaged_segment_spoils_its_page_only(spark, tmp_path):
+    end = b"\r\n\r\n"
+    one, two = (list(warc.page_records(p, "u", b"y" * 5000, None, segment_bytes=1000)) for p in (1, -2))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "part-0").write_bytes(b"".join(r + end for r in [*one[:2], one[2][:-9], *one[3:], *two]))
+    rows = sorted(map(tuple, warc.read_archives(spark, str(tmp_path / "w")).collect()))
+    assert rows == [(-2, 5000, warc.payload_digest(b"y" * 5000), "response", None, True), (1, None, None, "response", None, False)]

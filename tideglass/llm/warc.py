@@ -16,14 +16,17 @@ committed task attempts count, and any file system will do.
 Defined results: a null html is an empty payload; a null url leaves its header out; repeated
 rows of one page are all kept; a row with null `page_id` is a response unless a page with
 an id has the same payload; other columns are ignored; an empty table gives no rows. A
-record that is damaged or lacks a segment comes back with `intact` false, its page and
-type known, and the payload's fields null.
+record that is damaged or lacks a segment comes back with `intact` false and the payload's
+fields null; its page and type are known as far as its headers are whole. A record is whole
+if its length leads to a record end; behind one that is not, reading goes on at the next
+record, so a file that is cut or overwritten costs the records that it hits and no others.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -42,6 +45,8 @@ RECORDS_PER_FILE = 1024
 DATE = "2026-01-01T00:00:00Z"
 
 _CRLF, _END = b"\r\n", "\r\n\r\n"
+#: Where a record begins: behind the end of another, with a header.
+_BEGIN = re.compile(rb"\r\n\r\n(?=WARC/\d\.\d\r\n[A-Za-z-]+:)")
 
 
 def payload_digest(payload: bytes) -> str:
@@ -123,21 +128,31 @@ def page_records(
         yield _record(more, piece)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers (lower-case names) and block of each record of an archive; no block if it is damaged."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].split(_CRLF)
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
+        end = data.find(b"\r\n\r\n", at)
+        head = data[at:] if end < 0 else data[at:end]
         headers = {}
-        for line in lines[1:]:
-            name, _, value = line.partition(b":")
-            headers[name.decode().lower()] = value.decode().strip()
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        for line in head.split(_CRLF)[1:]:
+            name, colon, value = line.partition(b":")
+            if colon:
+                headers[name.decode(errors="replace").lower()] = value.decode(errors="replace").strip()
+        size = _whole_number(headers.get("content-length"))
+        if end >= 0 and size is not None and head.startswith(b"WARC/"):
+            stop = end + 4 + size
+            if data[stop : stop + 4] == b"\r\n\r\n":
+                yield headers, data[end + 4 : stop]
+                at = stop + 4
+                continue
+        yield headers, None
+        following = _BEGIN.search(data, at)
+        at = following.end() if following else len(data)
+
+
+def _whole_number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.isascii() and text.isdigit() else None
 
 
 def decode_block(kind: str, digest: str, block: bytes) -> tuple[int, str] | None:
@@ -209,16 +224,21 @@ _PAGE_TYPE = (
 )
 
 
+def _signed_number(text: str | None) -> int | None:
+    number = _whole_number(text.removeprefix("-")) if text else None
+    return -number if number is not None and text.startswith("-") else number
+
+
 def _page_row(headers: dict[str, str], block: bytes | None) -> list:
-    kind = headers["warc-type"]
+    kind = headers.get("warc-type")
     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
     found = None if block is None else decode_block(kind, digest, block)
     refers = headers.get("warc-refers-to")
     return [
-        int(headers["x-page-id"]) if headers.get("x-page-id") else None,
+        _signed_number(headers.get("x-page-id")),
         *(found or (None, None)),
         kind,
-        int(refers.split(":")[2]) if refers else None,
+        _signed_number(refers.split(":")[2]) if refers and refers.count(":") > 2 else None,
         found is not None,
     ]
 
@@ -235,15 +255,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 for headers, block in parse_records(content.as_buffer().to_pybytes()):
-                    number = int(headers.get("warc-segment-number", 0))
-                    origin = headers.get("warc-segment-origin-id") or headers["warc-record-id"]
-                    total = headers.get("warc-segment-total-length")
+                    origin = headers.get("warc-segment-origin-id") or headers.get("warc-record-id")
+                    # Without its origin a segment cannot be placed: a damaged record of its own.
+                    number = (_whole_number(headers.get("warc-segment-number")) or 0) if origin else 0
+                    total = _whole_number(headers.get("warc-segment-total-length"))
                     fields = "\n".join(f"{k}: {v}" for k, v in headers.items())
                     if number == 0:
                         row = _page_row(headers, block)
                         block, fields = repr(row).encode(), None
-                    rows.append((origin, number, int(total) if total else None, fields, block))
-                    held += len(block)
+                    rows.append((origin, number, total, fields, block))
+                    held += len(block or b"")
                     if len(rows) >= 4096 or held >= 4 << 20:
                         yield rows_batch(parsed_schema, list(zip(*rows)))
                         rows, held = [], 0
@@ -288,7 +309,8 @@ def _assembled(rows: list[dict]) -> list[list]:
     headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in source[0]["headers"].split("\n"))
     if not first:
         headers |= {"warc-type": "response"}
-    segments = {r["number"]: r["block"] for r in rows}
+    # Of a segment that comes several times a whole one counts.
+    segments = {r["number"]: r["block"] for r in rows if r["block"] is not None}
     totals = {r["total"] for r in rows if r["total"] is not None}
     complete = len(totals) == 1 and sorted(segments) == list(range(1, len(segments) + 1))
     block = b"".join(segments[n] for n in sorted(segments)) if complete else None
