@@ -5,18 +5,20 @@ that brings it to the greatest norm, a query gets a zero there. Rows are dealt a
 shards. A shard projects its vectors on `PROJECTIONS` random directions and keeps each
 projection as one sorted array. A query opens a window around its own projection in every
 array; a vector collides where it lies in the window. Virtual rehashing widens all windows
-by one factor and counts only what is new, until enough vectors have collided in
-`THRESHOLD` of the arrays; all of those are verified by the exact inner product in double
-precision. A shard returns the best of each query, and these are merged.
+by one factor and counts only what is new; vectors that have collided in `THRESHOLD` of the
+arrays are verified by the exact inner product in double precision.
 
-"Enough" is `SHARE` of the shard and at least `LEAST` vectors, so a shard's recall does not
-depend on how many shards there are, and a table of no more than LEAST vectors is searched
-exactly. Nothing is capped: every vector over the threshold is verified.
+One rule ends the search, in tables of every size: the k-th best of the verified vectors is
+no farther than the radius that the window stands for, the distance at which a vector still
+collides often enough with probability `FOUND`. So every true neighbour in the shard is met
+with that probability or better. Where a shard holds fewer than k others, all collide in the
+end and all are returned. Nothing is capped: every vector over the threshold is verified.
 
-Queries come in blocks of bounded size, each broadcast and searched in all shards. Equal
-vectors are thinned to the `k + 1` smallest ids first, since no further copy can be in any
-answer; that is a group limit ahead of the shuffle, so a vector that makes up a third of
-all rows stays cheap.
+Shards and blocks of queries are both bounded tables, met as cogroups: each shard is dealt to
+every block and each query to every shard, so no query passes through the driver. A shard
+returns the best of each query, and these are merged. Equal vectors are thinned to the
+`k + 1` smallest ids first, since no further copy can be in any answer; that is a group
+limit ahead of the shuffle, so a vector that makes up a third of all rows stays cheap.
 
 Defined results: vectors that are null, zero, or hold a null or a non-finite component take
 no part, nor do rows without id or with another number of components than most; of rows
@@ -26,6 +28,7 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -37,15 +40,16 @@ from tideglass.llm.common import rows_batch, ship
 from tideglass.session import materialise
 
 NEIGHBOURS = 20
-PROJECTIONS = 64
+PROJECTIONS = 128
 THRESHOLD = 0.84
-SHARE = 0.15
-LEAST = 2048
-SHARD_ROWS = 8192
-QUERY_BLOCK = 8192
+FOUND = 0.9
+SHARD_ROWS = 16384
+QUERY_BLOCK = 2048
 SEED = 5
 #: First half width of a window, in standard deviations of a projection, and its growth.
-WIDTH, GROWTH = 1.8, 1.1
+WIDTH, GROWTH = 0.5, 1.1
+#: Queries whose window bounds are looked up together.
+_TOGETHER = 256
 
 _ARROW = pa.schema(
     [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
@@ -69,6 +73,22 @@ def directions(size: int, count: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(size, count))
 
 
+def reach(needed: int, count: int, found: float = FOUND) -> float:
+    """Half width, in distances, of the window in which a vector at that distance collides in
+    `needed` of `count` arrays with probability `found`.
+    """
+
+    def often_enough(half: float) -> float:
+        p = math.erf(half / math.sqrt(2))
+        return sum(math.comb(count, i) * p**i * (1 - p) ** (count - i) for i in range(needed, count + 1))
+
+    low, high = 0.0, 10.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if often_enough(middle) < found else (low, middle)
+    return high
+
+
 class Shard:
     """Sorted projections of a bounded set of vectors."""
 
@@ -76,113 +96,133 @@ class Shard:
         self.ids, self.vectors, self.norm = ids, vectors, norm
         self.rough = vectors.astype(np.float32)
         rest = np.sqrt(np.maximum(0, norm**2 - (vectors**2).sum(axis=1)))
-        values = (np.column_stack([vectors, rest]) / norm) @ directions(vectors.shape[1] + 1)
+        self.directions = directions(vectors.shape[1] + 1)
+        values = (np.column_stack([vectors, rest]) / norm) @ self.directions
         self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
         self.values = np.take_along_axis(values.T, self.order, axis=1)
-        self.enough = min(len(ids), max(LEAST, math.ceil(SHARE * len(ids))))
+        self.needed = math.ceil(THRESHOLD * PROJECTIONS)
+        self.reach = reach(self.needed, PROJECTIONS)
+        self.verified = 0
 
-    def windows(self, projected: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, projected: np.ndarray, width: float) -> tuple[list, list]:
         """Bounds of each query's window in each sorted array."""
         low = [np.searchsorted(v, p - width) for v, p in zip(self.values, projected.T)]
         high = [np.searchsorted(v, p + width) for v, p in zip(self.values, projected.T)]
-        return np.array(low).T, np.array(high).T
-
-    def candidates(self, projected: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Positions of the vectors that collide often enough with a projected query."""
-        n, count = len(self.ids), len(self.order)
-        # The first window is wide, so it is quicker to count who is not in it.
-        hits = np.full(n, count, dtype=np.uint8)
-        for order, a, b in zip(self.order, low.tolist(), high.tolist()):
-            hits[order[:a]] -= 1
-            hits[order[b:]] -= 1
-        needed, width = math.ceil(THRESHOLD * count), WIDTH
-        while True:
-            found = np.flatnonzero(hits >= needed)
-            if len(found) >= self.enough:
-                return found
-            width *= GROWTH
-            (lower,), (higher,) = self.windows(projected[None], width)
-            for order, a, b, c, d in zip(self.order, lower, low, high, higher):
-                hits[order[a:b]] += 1
-                hits[order[c:d]] += 1
+        return np.array(low).T.tolist(), np.array(high).T.tolist()
+
+    def _met(self, slices: list) -> np.ndarray:
+        """How often each vector stands in slices of the sorted arrays."""
+        return np.bincount(np.concatenate(slices), minlength=len(self.ids))
+
+    def near(self, query_id: int, vector: np.ndarray, levels, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the verified vectors other than the query, with rough products.
+
+        `levels` gives window after window of this query: width, lower and upper bounds.
+        """
+        length = float(np.sqrt(vector @ vector))
+        single = vector.astype(np.float32)
+        hits, low, high = np.zeros(len(self.ids), dtype=np.int64), None, None
+        for width, lower, higher in levels:
+            if low is None:
+                hits += self._met([o[a:b] for o, a, b in zip(self.order, lower, higher)])
+            else:
+                hits += self._met(
+                    [o[a:b] for o, a, b in zip(self.order, lower, low)]
+                    + [o[a:b] for o, a, b in zip(self.order, high, higher)]
+                )
             low, high = lower, higher
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, projected: np.ndarray, k: int):
-        """For each query the ids and scores of its best k candidates other than itself."""
-        whole = self.enough == len(self.ids)
-        low, high = (None, None) if whole else self.windows(projected, WIDTH)
-        for i, (query_id, vector) in enumerate(zip(query_ids.tolist(), queries)):
-            near = None if whole else self.candidates(projected[i], low[i], high[i])
-            # Single precision settles all but a few; its error is far below the slack.
-            rough = (self.rough if whole else self.rough[near]) @ vector.astype(np.float32)
-            if len(rough) > 4 * k:
-                slack = 1e-4 * self.norm * float(np.sqrt(vector @ vector))
-                best = np.flatnonzero(rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - slack)
-                near = best if whole else near[best]
-            elif whole:
-                near = np.arange(len(rough))
-            # A sum per row, so equal vectors get equal scores wherever they stand.
-            scores, ids = (self.vectors[near] * vector).sum(axis=1), self.ids[near]
-            other = ids != query_id
-            ids, scores = ids[other], scores[other]
-            best = np.lexsort((ids, -scores))[:k]
-            yield ids[best], scores[best]
-
-
-def _search_block(shards: DataFrame, queries: list, norm: float, k: int) -> DataFrame:
-    """The best k of every shard for each query of a block."""
-    ids = np.array([q["vec_id"] for q in queries], dtype=np.int64)
-    vectors = np.array([q["embedding"] for q in queries], dtype=np.float64)
-    shared = shards.sparkSession.sparkContext.broadcast((ids, vectors))
-
-    def run(batches):
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        own = np.concatenate([b.column("vec_id").to_numpy() for b in held])
-        rows = np.concatenate([b.column("embedding").flatten().to_numpy() for b in held]).reshape(len(own), -1)
-        # The partitioner may deal more than one shard to a task.
-        order = np.argsort(own, kind="stable")
-        own, rows = own[order], rows[order]
-        query_ids, query_rows = shared.value
-        turned = query_rows / np.sqrt((query_rows**2).sum(axis=1))[:, None]
-        projected = np.column_stack([turned, np.zeros(len(turned))]) @ directions(rows.shape[1] + 1)
-        for part in np.array_split(np.arange(len(own)), max(1, math.ceil(len(own) / (2 * SHARD_ROWS)))):
-            shard = Shard(own[part], rows[part], norm)
-            out_q, out_v, out_s = [], [], []
-            for i, (found, scores) in enumerate(shard.search(query_ids, query_rows, projected, k)):
-                out_q.append(np.full(len(found), query_ids[i]))
-                out_v.append(found)
-                out_s.append(scores)
-                if len(out_q) == 512 or i == len(query_ids) - 1:
-                    yield rows_batch(_ARROW, [np.concatenate(x) for x in (out_q, out_v, out_s)])
-                    out_q, out_v, out_s = [], [], []
-
-    return shards.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-
-
-def nearest(vectors: DataFrame, every: int, k: int = NEIGHBOURS) -> DataFrame:
+            found = np.flatnonzero(hits >= self.needed)
+            whole = len(found) == len(self.ids)
+            if len(found) <= k and not whole:
+                continue
+            found = found[self.ids[found] != query_id]
+            rough = self.rough[found] @ single
+            if whole:
+                return found, rough
+            best = float(np.partition(rough, len(rough) - k)[len(rough) - k])
+            distance = math.sqrt(max(0.0, 2 - 2 * best / (self.norm * length)))
+            if distance * self.reach <= width:
+                return found, rough
+        raise AssertionError("windows grow until all vectors collide")
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+        """For each query the ids and scores of its best k verified vectors."""
+        for begin in range(0, len(queries), _TOGETHER):
+            part = slice(begin, begin + _TOGETHER)
+            turned = queries[part] / np.sqrt((queries[part] ** 2).sum(axis=1))[:, None]
+            projected = np.column_stack([turned, np.zeros(len(turned))]) @ self.directions
+            shared = []
+
+            def levels(i):
+                for step in itertools.count():
+                    width = WIDTH * GROWTH**step
+                    if step == len(shared):
+                        shared.append(self.windows(projected, width))
+                    yield width, shared[step][0][i], shared[step][1][i]
+
+            for i, (query_id, vector) in enumerate(zip(query_ids[part].tolist(), queries[part])):
+                near, rough = self.near(query_id, vector, levels(i), k)
+                self.verified += len(near)
+                # Single precision settles all but a few; its error is far below the slack.
+                if len(rough) > k:
+                    slack = 1e-4 * self.norm * float(np.sqrt(vector @ vector))
+                    near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
+                # A sum per row, so equal vectors get equal scores wherever they stand.
+                scores, ids = (self.vectors[near] * vector).sum(axis=1), self.ids[near]
+                best = np.lexsort((ids, -scores))[:k]
+                yield ids[best], scores[best]
+
+
+def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = table.column("vec_id").to_numpy()
+    flat = table.column("embedding").combine_chunks().flatten().to_numpy()
+    return ids, flat.reshape(len(ids), -1)
+
+
+def nearest(
+    vectors: DataFrame,
+    every: int,
+    k: int = NEIGHBOURS,
+    shard_rows: int = SHARD_ROWS,
+    query_block: int = QUERY_BLOCK,
+) -> DataFrame:
     """For each vector whose id is divisible by `every`, its k nearest others, nearest first."""
-    spark = ship(vectors.sparkSession)
+    ship(vectors.sparkSession)
     rows = usable(vectors)
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     thinned = materialise(rows.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k + 1).drop("_copy"))
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     held = thinned.agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("most")).first()
-    shards = thinned.repartition(max(1, math.ceil(held["n"] / SHARD_ROWS)), F.xxhash64("vec_id"))
     queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    found = []
-    for number in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(blocks)) == number)
-        taken = block.orderBy("vec_id").collect()
-        if taken:
-            found.append(_search_block(shards, taken, math.sqrt(held["most"]), k))
-    if not found:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    every_shard = found[0]
-    for more in found[1:]:
-        every_shard = every_shard.union(more)
+    shards = max(1, math.ceil(held["n"] / shard_rows))
+    blocks = max(1, math.ceil(queries.count() / query_block))
+    norm = math.sqrt(held["most"] or 1.0)
+
+    def dealt(count: int, seed: int):
+        return F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
+
+    def each(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    own = thinned.withColumn("shard", dealt(shards, SEED)).withColumn("block", each(blocks))
+    asked = queries.withColumn("block", dealt(blocks, SEED + 1)).withColumn("shard", each(shards))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            query_ids, query_rows = _rows(right)
+            shard = Shard(*_rows(left), norm)
+            for query_id, (found, scores) in zip(query_ids, shard.search(query_ids, query_rows, k)):
+                out.append((np.full(len(found), query_id), found, scores))
+        if not out:
+            return _ARROW.empty_table()
+        return pa.Table.from_batches([rows_batch(_ARROW, [np.concatenate(x) for x in zip(*out)])])
+
+    found = (
+        own.groupBy("shard", "block")
+        .cogroup(asked.groupBy("shard", "block"))
+        .applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = every_shard.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
