@@ -1,19 +1,23 @@
 """Licence scan by a positional rare-token index, in DataFrame expressions only.
 
-Three parts look at every whole text: base phrases, and the index. For the index, document
-frequencies of all template words are counted over the whole corpus; each template keeps
-its `RARE` words of highest inverse document frequency, with their positions. In a
-document every occurrence of an indexed word votes for (template, place where the template
-would begin). The place with the most distinct words is the best alignment; a template is
-accepted when it reaches `LEAST_SHARE` of its rare words and every one of its key phrases
-stands in the document. Documents without an indexed word skip this part.
-
-Nothing but one row per template word is shuffled or brought to the driver (the index is
-bounded by the templates below); rows of documents are only projected, so a hot source or
-repeated ids do not matter.
+The index posts every word of every template with its places, and the documents that hold
+the word are counted over the whole corpus. A document looks up its own words of highest
+inverse document frequency: of each template that it holds `LEAST_SHARE` of the words of,
+the `RARE` rarest that stand in it, so a word that is missing makes room for the next one.
+Every place of such a word, less its places in the template, is a place where the template
+would begin. Begins are intersected with a tolerance: windows of `2 * SPAN` begins, one at
+every multiple of `SPAN`, count the distinct words that agree in them, so that words put in
+or left out, which shift the rest, do not split the votes as long as begins differ by no
+more than `SPAN`. A template is accepted when the best window holds `LEAST_SHARE` of `RARE`
+words and every one of the template's key phrases stands in the document, word for word.
+
+One pass counts, one scans. Nothing but one row per template word is shuffled or brought to
+the driver (the index is bounded by the templates below); rows of documents are only
+projected, so a hot source or repeated ids do not matter. Votes are sorted numbers, so a
+very long text costs no more than its own sort.
 
 `score` is 1 where a base phrase stands, else the best share of rare words over templates
-that were accepted, else half the best share of any (0 without votes).
+that were accepted, else half the best share of any (0 where too few words stand).
 
 Defined results: a null or empty text has no words, labels '' and score 0; ties between
 words of equal frequency go by word; repeated rows are judged row by row; other columns
@@ -22,7 +26,9 @@ are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.common import id_and_text
@@ -35,7 +41,7 @@ TEMPLATES = {
     "mit": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and"
         " associated documentation files the software to deal in the software without restriction",
-        ("permission is hereby granted", "free of charge"),
+        ("permission is hereby granted", "free of charge", "deal in the software"),
     ),
     "apache": (
         "licensed under the apache license version 2 0 the license you may not use this file except in"
@@ -72,9 +78,21 @@ TEMPLATES = {
         " this license visit",
         ("licensed under a creative commons attribution",),
     ),
+    "zlib": (
+        "permission is granted to anyone to use this software for any purpose including commercial applications"
+        " and to alter it and redistribute it freely subject to the following restrictions",
+        ("alter it and redistribute it freely",),
+    ),
+    "boost": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the"
+        " software and accompanying documentation covered by this license the software to use reproduce display"
+        " distribute execute and transmit the software and to prepare derivative works of the software",
+        ("reproduce display distribute execute and transmit the software",),
+    ),
 }
 RARE = 8
 LEAST_SHARE = 0.75
+SPAN = 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -84,41 +102,33 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
 
 
-def _template_words(spark) -> DataFrame:
-    rows = [
-        (name, word, place)
-        for name, (text, _) in sorted(TEMPLATES.items())
-        for place, word in enumerate(text.split())
-    ]
-    return spark.createDataFrame(rows, "template string, word string, place int")
-
-
 def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def rare_index(words: DataFrame) -> dict[str, list[tuple[str, int]]]:
-    """word -> (template, place) of each template's rarest words, by counts over all rows.
+def postings(template: str) -> dict[str, list[int]]:
+    """Places of each word of a template."""
+    places: dict[str, list[int]] = {}
+    for place, word in enumerate(TEMPLATES[template][0].split()):
+        places.setdefault(word, []).append(place)
+    return places
+
 
-    `words` has the column `words`. At most RARE words per template reach the driver.
+VOCABULARY = sorted({word for text, _ in TEMPLATES.values() for word in text.split()})
+
+
+def by_rarity(words: DataFrame) -> list[str]:
+    """Template words from the rarest to the most frequent, by documents over all rows.
+
+    `words` has the column `words`. One row per template word reaches the driver.
     """
-    spark = words.sparkSession
-    places = _template_words(spark)
-    vocabulary = sorted({w for text, _ in TEMPLATES.values() for w in text.split()})
     counted = (
-        words.select(F.explode(F.array_intersect("words", _array(vocabulary))).alias("word"))
+        words.select(F.explode(F.array_intersect("words", _array(VOCABULARY))).alias("word"))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    first = places.groupBy("template", "word").agg(F.min("place").alias("place"))
-    ranked = first.join(counted, "word", "left").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "word"))
-    )
-    rarest = ranked.where(F.col("rank") <= RARE).select("template", "word")
-    index: dict[str, list[tuple[str, int]]] = {}
-    for row in places.join(rarest, ["template", "word"]).orderBy("word", "template", "place").collect():
-        index.setdefault(row["word"], []).append((row["template"], row["place"]))
-    return index
+    df = {row["word"]: row["df"] for row in counted.collect()}
+    return sorted(VOCABULARY, key=lambda word: (df.get(word, 0), word))
 
 
 def _phrase_starts(words: Column, phrase: str) -> Column:
@@ -134,33 +144,42 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(at, stands)).otherwise(F.array().cast("array<int>"))
 
 
-def _votes(words: Column, index: dict[str, list[tuple[str, int]]]) -> Column:
-    """(template, begin, word) of every occurrence of an indexed word, each once."""
-    entries = F.create_map(
-        *[
-            part
-            for word, places in index.items()
-            for part in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in places]))
-        ]
-    )
+def _agreeing(words: Column, template: str, chosen: Column) -> Column:
+    """The most distinct chosen words that place the template's begin in one window.
+
+    A vote is the number window * RARE + place of the word among the chosen ones; sorted,
+    the votes of a window stand together, and a fold counts the different ones.
+    """
+    entries = F.create_map(*[x for word, at in postings(template).items() for x in (F.lit(word), _array(at))])
     hits = F.filter(
-        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(_array(index), x.w)
+        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
+        lambda x: F.array_contains(chosen, x.w),
     )
-    votes = F.flatten(
-        F.transform(
-            hits,
-            lambda x: F.transform(
-                F.element_at(entries, x.w), lambda p: F.struct(p.t.alias("t"), (x.i - p.p).alias("begin"), x.w.alias("w"))
-            ),
+
+    def votes(x: Column) -> Column:
+        rank = F.array_position(chosen, x.w) - 1
+
+        def windows(p: Column) -> Column:
+            window = F.floor((x.i - p) / SPAN)
+            return F.array(window * RARE + rank, (window - 1) * RARE + rank)
+
+        return F.flatten(F.transform(F.element_at(entries, x.w), windows))
+
+    def count(state: Column, vote: Column) -> Column:
+        window = F.floor(vote / RARE)
+        fresh = F.when(state.vote.isNull() | (window != F.floor(state.vote / RARE)), 1).otherwise(
+            state.run + F.when(vote != state.vote, 1).otherwise(0)
         )
-    )
-    return F.array_distinct(votes)
+        return F.struct(vote.alias("vote"), fresh.alias("run"), F.greatest(state.best, fresh).alias("best"))
+
+    start = F.struct(F.lit(None).cast("long").alias("vote"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    return F.aggregate(F.sort_array(F.flatten(F.transform(hits, votes))), start, count, lambda state: state.best)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: base phrases by place, all labels, and a score."""
     worded = id_and_text(docs).select("doc_id", words_of(F.col("text")).alias("words"))
-    index = rare_index(worded)
+    order = by_rarity(worded)
     words = F.col("words")
     none = F.array().cast("array<int>")
 
@@ -168,33 +187,28 @@ def scan(docs: DataFrame) -> DataFrame:
         label: F.when(F.array_contains(words, phrase.split()[0]), _phrase_starts(words, phrase)).otherwise(none)
         for phrase, label in PHRASES
     }
-    based = worded.select("doc_id", "words", *[s.alias(f"_{label}") for label, s in starts.items()])
-
-    empty = F.array().cast("array<struct<t: string, begin: int, w: string>>")
-    votes = F.when(F.arrays_overlap(words, _array(sorted(index))), _votes(words, index)).otherwise(empty)
-    voted = based.withColumn("_votes", votes)
+    based = worded.select(
+        "doc_id",
+        "words",
+        *[s.alias(f"_{label}") for label, s in starts.items()],
+        F.array_intersect(words, _array(VOCABULARY)).alias("_own"),
+    )
 
     def share(template: str) -> Column:
-        own = F.filter("_votes", lambda v: v.t == template)
-        rare = len({w for w, places in index.items() if any(t == template for t, _ in places)})
-        begins = F.transform(own, lambda v: v.begin)
-        most = F.array_max(
-            F.transform(F.array_distinct(begins), lambda b: F.size(F.filter(own, lambda v: v.begin == b)))
-        )
-        return F.coalesce(most, F.lit(0)) / F.lit(float(rare))
+        ranked = [word for word in order if word in postings(template)]
+        standing = F.filter(_array(ranked), lambda w: F.array_contains("_own", w))
+        enough = F.size(F.array_intersect("_own", _array(ranked))) >= math.ceil(LEAST_SHARE * len(ranked))
+        best = _agreeing(words, template, F.slice(standing, 1, RARE)) / F.lit(float(RARE))
+        return F.when(F.size("_own") >= RARE, F.when(enough, best)).cast("double")
 
-    has_votes = F.size("_votes") > 0
-    shares = voted.select(
-        "*", *[F.when(has_votes, share(t)).otherwise(F.lit(0.0)).alias(f"_share_{t}") for t in sorted(TEMPLATES)]
-    )
+    shares = based.select("*", *[F.coalesce(share(t), F.lit(0.0)).alias(f"_share_{t}") for t in sorted(TEMPLATES)])
 
     def accepted(template: str) -> Column:
         line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-        keys = [F.contains(line, F.lit(f" {key} ")) for key in TEMPLATES[template][1]]
-        result = F.col(f"_share_{template}") >= LEAST_SHARE
-        for key in keys:
-            result = result & key
-        return F.when(has_votes, result).otherwise(F.lit(False))
+        stand = F.lit(True)
+        for key in TEMPLATES[template][1]:
+            stand = stand & F.contains(line, F.lit(f" {key} "))
+        return F.when(F.col(f"_share_{template}") >= LEAST_SHARE, stand).otherwise(F.lit(False))
 
     judged = shares.select("*", *[accepted(t).alias(f"_is_{t}") for t in sorted(TEMPLATES)])
 

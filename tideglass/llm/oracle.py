@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideglass.llm.licenses import LEAST_SHARE, PHRASES, RARE, TEMPLATES
+from tideglass.llm.licenses import LEAST_SHARE, PHRASES, RARE, SPAN, TEMPLATES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -109,16 +109,30 @@ df AS (
   SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS word FROM doc)
   WHERE word IN (SELECT word FROM tmpl) GROUP BY word
 ),
+pos AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM doc),
+own AS (
+  SELECT doc_id, template, word, coalesce(df, 0) AS df
+  FROM (SELECT DISTINCT doc_id, word FROM pos) JOIN (SELECT DISTINCT template, word FROM tmpl) USING (word)
+    LEFT JOIN df USING (word)
+),
+sizes AS (SELECT template, count(DISTINCT word) AS size FROM tmpl GROUP BY template),
+enough AS (
+  SELECT doc_id, template FROM (SELECT doc_id, template, count(*) AS n FROM own GROUP BY ALL) JOIN sizes USING (template)
+  WHERE n >= ceil({LEAST_SHARE} * size)
+),
 rare AS (
-  SELECT template, word FROM (
-    SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY coalesce(df, 0), word) AS r
-    FROM (SELECT DISTINCT template, word FROM tmpl) LEFT JOIN df USING (word)
+  SELECT doc_id, template, word FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY df, word) AS r
+    FROM own JOIN enough USING (doc_id, template)
   ) WHERE r <= {RARE}
 ),
-pos AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM doc),
+voted AS (
+  SELECT doc_id, template, word, CAST(floor((i - place) / {float(SPAN)}) AS BIGINT) AS win
+  FROM rare JOIN pos USING (doc_id, word) JOIN tmpl USING (template, word)
+),
 vote AS (
-  SELECT doc_id, template, i - place AS begin, count(DISTINCT word) AS c
-  FROM pos JOIN tmpl USING (word) JOIN rare USING (template, word) GROUP BY ALL
+  SELECT doc_id, template, win, count(DISTINCT word) AS c
+  FROM (SELECT * FROM voted UNION ALL SELECT doc_id, template, word, win - 1 FROM voted) GROUP BY ALL
 ),
 share AS (SELECT doc_id, template, CAST(max(c) AS DOUBLE) / {float(RARE)}::DOUBLE AS s FROM vote GROUP BY ALL),
 missed AS (
