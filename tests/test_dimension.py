@@ -189,3 +189,27 @@ def test_an_ingest_leaves_no_scratch(spark, tmp_path):
     store.ingest(arrivals_of(spark, [event("a", window()), event("b")]))
     store.ingest(arrivals_of(spark, [event("c", window("t2"))], first_id=3))
     assert set(tables.glob("*")) <= before
+
+
+@pytest.mark.parametrize("limit", [dim.BROADCAST_BYTES, 0])
+def test_a_batch_asks_the_dimension_for_its_own_windows(spark, monkeypatch, limit):
+    monkeypatch.setattr(dim, "BROADCAST_BYTES", limit)
+    old = dim.build_dimension(arrivals_of(spark, [event(f"o{i}", window(f"t{i}")) for i in range(40)]))
+    parts = materialise(old.unionByName(old.where("window_id % 2 = 0")))
+    batch = arrivals_of(spark, [event(f"n{i}", window(f"t{i}")) for i in range(38, 43)], first_id=100)
+    partials = materialise(dim.identity_partials(batch))
+    known = dim.known_pairs(parts, partials)
+    pairs = {(r["context_hash"], r["window_id"]) for r in known.collect()}
+    wanted = {r["context_hash"] for r in partials.collect()}
+    stored = {(r["context_hash"], r["window_id"]) for r in old.collect()}
+    assert {p for p in pairs if p[0] in wanted} == {p for p in stored if p[0] in wanted}
+    assert len(known.collect()) == len(pairs) == (2 if limit else 40)
+    ids = sorted(r["window_id"] for r in dim.dimension_part(known, partials, 40).collect())
+    assert ids == [39, 40, 41, 42, 43]
+    if limit:
+        # The parts meet the hashes before anything of theirs is shuffled.
+        plan = known._jdf.queryExecution().sparkPlan().toString()
+        assert plan.index("HashAggregate") < plan.index("LeftSemi") and plan.count("Exchange") == 0
+        lines = known._jdf.queryExecution().executedPlan().toString().splitlines()
+        shuffle = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+        assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in lines[shuffle:])

@@ -80,6 +80,20 @@ def build_dimension(arrivals: DataFrame) -> DataFrame:
     return number_windows(fold(identity_partials(arrivals)))
 
 
+def known_pairs(parts: DataFrame, partials: DataFrame) -> DataFrame:
+    """The (context_hash, window_id) pairs of `parts` that a batch asks for, each once.
+
+    A batch brings few windows and the parts of a dimension hold many, so the batch's own
+    hashes go to the parts: what is shuffled are the batch's windows, not the dimension's.
+    Only where the batch's hashes outgrow a broadcast are all pairs returned.
+    """
+    pairs = parts.select("context_hash", "window_id")
+    hashes = partials.select("context_hash")
+    if content_bytes(hashes) <= BROADCAST_BYTES:
+        pairs = pairs.join(F.broadcast(hashes), "context_hash", "left_semi")
+    return pairs.distinct()
+
+
 def dimension_part(known: DataFrame, partials: DataFrame, after: int) -> DataFrame:
     """What a batch adds to a dimension: its own windows, known ones under their ids.
 
@@ -103,7 +117,7 @@ def advance_dimension(
     `after` is the highest id given so far. Returns the next dimension and the batch's
     (context_hash, window_id) pairs.
     """
-    part = dimension_part(current.select("context_hash", "window_id"), partials, after)
+    part = dimension_part(known_pairs(current, partials), partials, after)
     following = part if after == 0 else shape(fold(current.unionByName(part)))
     return following, part.select("context_hash", "window_id")
 

@@ -337,7 +337,7 @@ class TimelineStore:
         payloads = checked.where(F.col("reason").isNull()).drop("reason", "payload")
 
         partials = materialise(dim.identity_partials(payloads))
-        known = before.window_parts.select("context_hash", "window_id").distinct()
+        known = dim.known_pairs(before.window_parts, partials)
         part = materialise(dim.dimension_part(known, partials, before.last_window_id))
         part.write.mode("overwrite").parquet(f"{self.root}/windows/version={version}")
         pairs = part.select("context_hash", "window_id")
