@@ -191,6 +191,21 @@ def test_an_ingest_leaves_no_scratch(spark, tmp_path):
     assert set(tables.glob("*")) <= before
 
 
+def test_a_cluster_takes_the_checkpoint_folder_on_a_mount(spark, tmp_path, monkeypatch):
+    from tideglass.session import scratch_folder, shared_folder
+
+    folder = scratch_folder(spark)
+    assert folder.startswith("file:/")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    store = TimelineStore(spark, f"{folder}/stores/on_a_cluster")
+    assert store.ingest(arrivals_of(spark, [event("a", window()), event("b")])).events.count() == 2
+    plain = folder.removeprefix("file:").lstrip("/")
+    assert shared_folder(spark, f"file:///{plain}/x") and shared_folder(spark, "hdfs://name/x")
+    for other in (f"file://{tmp_path}/x", f"file:///{plain}-2/x", f"file:///{plain}/../x"):
+        with pytest.raises(RuntimeError, match="own folder"):
+            shared_folder(spark, other)
+
+
 @pytest.mark.parametrize("limit", [dim.BROADCAST_BYTES, 0])
 def test_a_batch_asks_the_dimension_for_its_own_windows(spark, monkeypatch, limit):
     monkeypatch.setattr(dim, "BROADCAST_BYTES", limit)
