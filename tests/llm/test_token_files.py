@@ -33,6 +33,24 @@ def test_plain_words_take_the_short_way(library):
         assert np.frombuffer(words[word], dtype="<u4").tolist() == whole
 
 
+def test_any_ascii_mark_ends_a_plain_word(library):
+    words = tf.WordIds(PATH)
+    for mark in filter(lambda c: not c.isalnum(), map(chr, range(33, 127))):
+        for word in (f"thnble{mark}", f"été{mark * 3}", f"a{mark}'", f"x.{mark}"):
+            whole = library.encode(word, add_special_tokens=False).ids
+            assert np.frombuffer(words._short(word), dtype="<u4").tolist() == whole
+
+
+def test_lower_casing_a_text_changes_no_id(library):
+    assert tf.word_ids(PATH).caseless
+    texts = [
+        "<|StartOfText|> A", "x<|ENDOFTEXT|>Y <|endoftext|>", "İI Σας ΣΑΣ", "It'S don'T I'LL''S", "µM ªº ß X²Y½ ¿Q¡R",
+        "".join(map(chr, range(256))), *[f"A{chr(c)}B {chr(c)} C{chr(c)}'S" for c in range(256)],
+    ]
+    for text, ids in zip(texts, tf.encode_texts(texts, PATH), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 6000), st.integers(1, 300), st.integers(0, 2**32 - 1))
 def test_coder_round_trip_and_slices(n, kinds, seed):

@@ -39,7 +39,7 @@ BLOCK_IDS = 1 << 18
 LANES = 1024
 CHECKPOINT_STEPS = 128
 BLOCKS_PER_FILE = 128
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
 
 SCALE_BITS = 20
 _LOW = 1 << 31  # states live in [2^31, 2^63) and give or take 32 bits at a time
@@ -49,10 +49,14 @@ _HEADER = struct.Struct("<4sIQQQQIIIIII")
 
 # Tokenizing.
 
-#: Words of letters whose lower case and byte spelling need no Unicode tables: ASCII, Latin-1.
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_TAIL = ".,!?;:"
+#: Words of letters whose lower case and byte spelling need no Unicode tables (ASCII, Latin-1),
+#: and what may stand behind them: ASCII that is neither letter, number nor white space.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _PROBES = ("a", "Word", "ÉTÉ", "straße", "ñandú", "ÿ", "Þing", "supercalifragilistic", "l", "ÄÖÜäöü")
+_TAILS = ("", "?!", "&&&", "'", "''", "%%%", "--", "](", "_\"", *_TAIL)
+#: Whole Latin-1 texts to try lower-casing on: contractions, numbers, marks and letters without a case.
+_CASES = ("It'S ÉTÉ'LL 4X", "A1B2 (QUI)DON'T", "µM ªº ÷×ß ÐÞ", "X_Y@Z.COM \"Ñ\" ¿QUÉ?", "\xad\xa0A\x85B\x1cC\u00bd")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,7 +72,8 @@ class WordIds(dict):
     A word of plain letters goes straight to the library's merge model, lower-cased and in
     byte letters as its pipeline would hand it on; punctuation at its end is a piece of its
     own. Every other word goes through the whole pipeline. Whether the short way holds for
-    this tokenizer is tried out on probes when it is loaded.
+    this tokenizer, and whether it takes lower-cased texts for the same, is tried out on
+    probes when it is loaded.
     """
 
     def __init__(self, path: str) -> None:
@@ -81,9 +86,12 @@ class WordIds(dict):
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.older: dict[str, bytes] = {}
-        probes = [p + t for p in _PROBES for t in ("", ".", "?!")]
+        # Found in a text as they stand, in upper or lower case.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        probes = [p + t for p in _PROBES for t in _TAILS]
         self.short = True
         self.short = all(self._short(p) == self._whole(p) for p in probes)
+        self.caseless = all(self._whole(p) == self._whole(p.lower()) for p in (*probes, *_CASES))
         self.clear()
 
     def _whole(self, word: str) -> bytes:
@@ -91,15 +99,27 @@ class WordIds(dict):
         return array("I", coded.ids).tobytes()
 
     def _short(self, word: str) -> bytes | None:
-        core = word.rstrip(_TAIL)
-        if not _LETTERS.fullmatch(core):
+        found = _WORD.fullmatch(word)
+        if found is None:
             return None
+        core, tail = found.groups()
+        if tail:
+            return self[core] + self[tail]
         lowered = core.lower()
-        if lowered != word:
-            return self[lowered] + self[word[len(core) :]] if len(core) < len(word) else self[lowered]
-        if not word.isascii():
-            word = "".join([self.letters[b] for b in word.encode()])
-        return array("I", [t.id for t in self.merge(word)]).tobytes()
+        if lowered != core:
+            return self[lowered]
+        if not core.isascii():
+            core = "".join([self.letters[b] for b in core.encode()])
+        return array("I", [t.id for t in self.merge(core)]).tobytes()
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text; lower-cased before they are cut where that changes no id."""
+        if self.caseless and _is_latin(text):
+            lowered = text.lower()
+            # Lower-casing must not make a token that is not there.
+            if not any(token in lowered for token in self.added):
+                text = lowered
+        return text.replace("\n", " ").split(" ")
 
     def __missing__(self, word: str) -> bytes:
         coded = self.older.get(word)
@@ -114,6 +134,14 @@ class WordIds(dict):
         return coded
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are Latin-1, whose lower case is a table of single letters."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -125,10 +153,9 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     No token of this kind of tokenizer spans white space, and white space gives none, so
     texts are cut at spaces and line feeds and each distinct word is encoded once.
     """
-    get = word_ids(path).__getitem__
-    return [
-        np.frombuffer(b"".join(map(get, text.replace("\n", " ").split(" "))), dtype="<u4") for text in texts
-    ]
+    known = word_ids(path)
+    get = known.__getitem__
+    return [np.frombuffer(b"".join(map(get, known.words(text))), dtype="<u4") for text in texts]
 
 
 # The coder.
