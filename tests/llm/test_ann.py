@@ -36,6 +36,27 @@ def test_recall_of_a_large_shard(clustered):
     assert found / (20 * len(ids)) >= 0.9
 
 
+def test_only_open_queries_look_up_wider_windows(monkeypatch):
+    rows = np.random.default_rng(4).normal(size=(3000, 16))
+    shard = ann.Shard(np.arange(3000), rows, float(np.sqrt((rows**2).sum(axis=1).max())))
+    looked, windows = [], shard.windows
+    monkeypatch.setattr(shard, "windows", lambda p, w: looked.append(len(p)) or windows(p, w))
+    assert len(list(shard.search(np.arange(200), rows[:200], 20))) == 200
+    assert looked[0] == 200 and looked[-1] < 200 and looked == sorted(looked, reverse=True)
+
+
+@pytest.mark.parametrize("count", [5, 3000, 70000])
+def test_counts_by_places_are_counts_by_slices(count, monkeypatch):
+    rows = np.random.default_rng(5).normal(size=(count, 4))
+    shard = ann.Shard(np.arange(count), rows, float(np.sqrt((rows**2).sum(axis=1).max())))
+    projected = np.random.default_rng(6).normal(size=(6, ann.PROJECTIONS))
+    for lower, higher in zip(*shard.windows(projected, np.array([0.0, 0.1, 0.5, 1.0, 3.0, 9.0]))):
+        met = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(shard.order, lower, higher)]), minlength=count)
+        for narrow in (0, 10**9):
+            monkeypatch.setattr(ann, "NARROW", narrow)
+            assert (shard._inside(lower, higher) == met).all()
+
+
 def recall_of(found, rows, every):
     truth = exact(rows, every)
     scores = {(q, i): s for q, _, i, s in truth}

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,10 @@ WIDTH, GROWTH = 0.5, 1.06
 #: Every so many rows of a shard tell where a query's first window begins, as a part of the
 #: width that the nearest of them asks for.
 PILOT, PILOT_PART = 32, 0.92
+#: Windows that hold under this part of all places are counted by their slices.
+NARROW = 8
+#: Sorted arrays whose places are compared together, so that they stay in a core's cache.
+_ARRAYS = 16
 #: Queries whose window bounds are looked up together.
 _TOGETHER = 256
 
@@ -94,6 +99,22 @@ def reach(needed: int, count: int, found: float = FOUND) -> float:
     return high
 
 
+@dataclass
+class Asked:
+    """A query and how far its search has come: its window's bounds, how often each vector has
+    collided, which are over the threshold, and their rough products.
+    """
+
+    id: int
+    vector: np.ndarray
+    length: float
+    lower: list | None = None
+    higher: list | None = None
+    hits: np.ndarray | None = None
+    found: np.ndarray | None = None
+    rough: np.ndarray | None = None
+
+
 class Shard:
     """Sorted projections of a bounded set of vectors."""
 
@@ -105,6 +126,11 @@ class Shard:
         values = (np.column_stack([vectors, rest]) / norm) @ self.directions
         self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
         self.values = np.take_along_axis(values.T, self.order, axis=1)
+        # Each vector's place in each sorted array; places below 2**16 are compared faster.
+        self.places = np.empty(self.order.shape, dtype=np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, self.order, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
+        self._gaps = np.empty((_ARRAYS, len(ids)), dtype=self.places.dtype)
+        self._within = np.empty((_ARRAYS, len(ids)), dtype=bool)
         self.needed = math.ceil(THRESHOLD * PROJECTIONS)
         self.reach = reach(self.needed, PROJECTIONS)
         self.verified = 0
@@ -124,72 +150,87 @@ class Shard:
 
     def _met(self, slices: list) -> np.ndarray:
         """How often each vector stands in slices of the sorted arrays."""
-        return np.bincount(np.concatenate(slices), minlength=len(self.ids))
+        return np.bincount(np.concatenate(slices), minlength=len(self.ids)).astype(np.uint8)
 
     def _inside(self, lower: list, higher: list) -> np.ndarray:
-        """How often each vector stands in the windows, by the smaller of inside and outside."""
-        if 2 * (sum(higher) - sum(lower)) < self.order.size:
-            return self._met([o[a:b] for o, a, b in zip(self.order, lower, higher)])
-        outside = [o[:a] for o, a in zip(self.order, lower)] + [o[b:] for o, b in zip(self.order, higher)]
-        return PROJECTIONS - self._met(outside)
-
-    def near(self, query_id: int, vector: np.ndarray, levels, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the verified vectors other than the query, with rough products.
-
-        `levels` gives window after window of this query: width, lower and upper bounds.
+        """How often each vector stands in the windows: by their slices where these are narrow,
+        else by each vector's places.
         """
-        length = float(np.sqrt(vector @ vector))
-        single = vector.astype(np.float32)
-        hits = None
-        for width, lower, higher in levels:
-            if hits is None:
-                hits = self._inside(lower, higher)
-            else:
-                hits += self._met(
-                    [o[a:b] for o, a, b in zip(self.order, lower, low)]
-                    + [o[a:b] for o, a, b in zip(self.order, high, higher)]
-                )
-            low, high = lower, higher
-            found = np.flatnonzero(hits >= self.needed)
-            whole = len(found) == len(self.ids)
-            if len(found) <= k and not whole:
-                continue
-            found = found[self.ids[found] != query_id]
-            rough = self.rough[found] @ single
-            if whole:
-                return found, rough
-            best = float(np.partition(rough, len(rough) - k)[len(rough) - k])
-            distance = math.sqrt(max(0.0, 2 - 2 * best / (self.norm * length)))
-            if distance * self.reach <= width:
-                return found, rough
-        raise AssertionError("windows grow until all vectors collide")
+        if NARROW * (sum(higher) - sum(lower)) < self.order.size:
+            return self._met([o[a:b] for o, a, b in zip(self.order, lower, higher)])
+        kind = self.places.dtype
+        begin = np.array(lower, dtype=kind)[:, None]
+        width = np.array(higher, dtype=kind)[:, None] - begin
+        hits = np.zeros(len(self.ids), dtype=np.uint8)
+        for first in range(0, PROJECTIONS, _ARRAYS):
+            part = slice(first, first + _ARRAYS)
+            many = len(begin[part])
+            # Unsigned: a place ahead of the window wraps around to beyond its width.
+            gap = np.subtract(self.places[part], begin[part], out=self._gaps[:many])
+            inside = np.less(gap, width[part], out=self._within[:many])
+            hits += np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+        return hits
+
+    def widen(self, asked: Asked, width: float, lower: list, higher: list, k: int) -> bool:
+        """Widen a query's window to these bounds; whether its search is over."""
+        if asked.hits is None:
+            asked.hits = self._inside(lower, higher)
+            asked.rough = np.full(len(self.ids), np.nan, dtype=np.float32)
+        else:
+            asked.hits += self._met(
+                [o[a:b] for o, a, b in zip(self.order, lower, asked.lower)]
+                + [o[a:b] for o, a, b in zip(self.order, asked.higher, higher)]
+            )
+        asked.lower, asked.higher = lower, higher
+        found = np.flatnonzero(asked.hits >= self.needed)
+        whole = len(found) == len(self.ids)
+        if len(found) <= k and not whole:
+            return False
+        asked.found = found = found[self.ids[found] != asked.id]
+        fresh = found[np.isnan(asked.rough[found])]
+        asked.rough[fresh] = self.rough[fresh] @ asked.vector.astype(np.float32)
+        if whole:
+            return True
+        rough = asked.rough[found]
+        best = float(np.partition(rough, len(rough) - k)[len(rough) - k])
+        distance = math.sqrt(max(0.0, 2 - 2 * best / (self.norm * asked.length)))
+        return distance * self.reach <= width
+
+    def best(self, asked: Asked, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best k verified vectors."""
+        near, rough = asked.found, asked.rough[asked.found]
+        self.verified += len(near)
+        # Single precision settles all but a few; its error is far below the slack.
+        if len(rough) > k:
+            slack = 1e-4 * self.norm * asked.length
+            near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
+        # A sum per row, so equal vectors get equal scores wherever they stand.
+        scores, ids = (self.vectors[near] * asked.vector).sum(axis=1), self.ids[near]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """For each query the ids and scores of its best k verified vectors."""
         for begin in range(0, len(queries), _TOGETHER):
             part = slice(begin, begin + _TOGETHER)
-            turned = queries[part] / np.sqrt((queries[part] ** 2).sum(axis=1))[:, None]
+            lengths = np.sqrt((queries[part] ** 2).sum(axis=1))
+            turned = queries[part] / lengths[:, None]
             projected = np.column_stack([turned, np.zeros(len(turned))]) @ self.directions
             starts = self.starts(query_ids[part], queries[part])
-            shared = []
-
-            def levels(i):
-                for step in itertools.count():
-                    if step == len(shared):
-                        shared.append(self.windows(projected, starts * GROWTH**step))
-                    yield starts[i] * GROWTH**step, shared[step][0][i], shared[step][1][i]
-
-            for i, (query_id, vector) in enumerate(zip(query_ids[part].tolist(), queries[part])):
-                near, rough = self.near(query_id, vector, levels(i), k)
-                self.verified += len(near)
-                # Single precision settles all but a few; its error is far below the slack.
-                if len(rough) > k:
-                    slack = 1e-4 * self.norm * float(np.sqrt(vector @ vector))
-                    near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
-                # A sum per row, so equal vectors get equal scores wherever they stand.
-                scores, ids = (self.vectors[near] * vector).sum(axis=1), self.ids[near]
-                best = np.lexsort((ids, -scores))[:k]
-                yield ids[best], scores[best]
+            asked = [Asked(*q) for q in zip(query_ids[part].tolist(), queries[part], lengths.tolist())]
+            results: list = [None] * len(asked)
+            # Window after window, for the queries whose search is not over.
+            left = list(range(len(asked)))
+            for step in itertools.count():
+                widths = starts[left] * GROWTH**step
+                bounds = zip(left, widths.tolist(), *self.windows(projected[left], widths))
+                over = [i for i, *window in bounds if self.widen(asked[i], *window, k)]
+                for i in over:
+                    results[i], asked[i] = self.best(asked[i], k), None
+                left = [i for i in left if asked[i] is not None]
+                if not left:
+                    break
+            yield from results
 
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
