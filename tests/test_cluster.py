@@ -20,6 +20,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no given tables")
 NAMES = [
     "constraint_report",
     "constraint_report_damaged",
+    "dimension_compacted",
 ]
 
 
