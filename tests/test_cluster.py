@@ -21,6 +21,7 @@ NAMES = [
     "constraint_report",
     "constraint_report_damaged",
     "dimension_compacted",
+    "dimension_incremental",
 ]
 
 
