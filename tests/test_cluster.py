@@ -22,6 +22,7 @@ NAMES = [
     "constraint_report_damaged",
     "dimension_compacted",
     "dimension_incremental",
+    "dimension_running",
 ]
 
 
