@@ -23,6 +23,7 @@ NAMES = [
     "dimension_compacted",
     "dimension_incremental",
     "dimension_running",
+    "dimension_streaming",
 ]
 
 
