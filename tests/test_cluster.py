@@ -24,6 +24,7 @@ NAMES = [
     "dimension_incremental",
     "dimension_running",
     "dimension_streaming",
+    "event_by_id",
 ]
 
 
