@@ -25,6 +25,7 @@ NAMES = [
     "dimension_running",
     "dimension_streaming",
     "event_by_id",
+    "event_detail",
 ]
 
 
