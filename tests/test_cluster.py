@@ -26,6 +26,7 @@ NAMES = [
     "dimension_streaming",
     "event_by_id",
     "event_detail",
+    "event_display",
 ]
 
 
