@@ -27,6 +27,7 @@ NAMES = [
     "event_by_id",
     "event_detail",
     "event_display",
+    "event_list_items",
 ]
 
 
