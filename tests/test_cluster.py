@@ -29,6 +29,7 @@ NAMES = [
     "event_display",
     "event_list_items",
     "event_window_assignment",
+    "events_all_filters",
 ]
 
 
