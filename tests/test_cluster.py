@@ -30,6 +30,7 @@ NAMES = [
     "event_list_items",
     "event_window_assignment",
     "events_all_filters",
+    "events_by_app",
 ]
 
 
