@@ -31,6 +31,7 @@ NAMES = [
     "event_window_assignment",
     "events_all_filters",
     "events_by_app",
+    "events_by_hash",
 ]
 
 
