@@ -32,6 +32,7 @@ NAMES = [
     "events_all_filters",
     "events_by_app",
     "events_by_hash",
+    "events_by_kind",
 ]
 
 
