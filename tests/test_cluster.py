@@ -33,6 +33,7 @@ NAMES = [
     "events_by_app",
     "events_by_hash",
     "events_by_kind",
+    "events_by_window",
 ]
 
 
