@@ -34,6 +34,7 @@ NAMES = [
     "events_by_hash",
     "events_by_kind",
     "events_by_window",
+    "events_count",
 ]
 
 
