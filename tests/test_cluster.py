@@ -35,6 +35,7 @@ NAMES = [
     "events_by_kind",
     "events_by_window",
     "events_count",
+    "events_cursor",
 ]
 
 
