@@ -36,6 +36,7 @@ NAMES = [
     "events_by_window",
     "events_count",
     "events_cursor",
+    "events_deep_app_name_asc",
 ]
 
 
