@@ -37,6 +37,7 @@ NAMES = [
     "events_count",
     "events_cursor",
     "events_deep_app_name_asc",
+    "events_deep_app_name_desc",
 ]
 
 
