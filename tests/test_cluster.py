@@ -38,6 +38,7 @@ NAMES = [
     "events_cursor",
     "events_deep_app_name_asc",
     "events_deep_app_name_desc",
+    "events_deep_event_id_asc",
 ]
 
 
