@@ -39,6 +39,7 @@ NAMES = [
     "events_deep_app_name_asc",
     "events_deep_app_name_desc",
     "events_deep_event_id_asc",
+    "events_deep_event_id_desc",
 ]
 
 
